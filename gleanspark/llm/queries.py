@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm import line_dedup as lines
+from gleanspark.llm import ngram_join, secrets
+from gleanspark.llm.decontam import decontaminate
 from gleanspark.llm.common import pick, table
 
 
@@ -14,9 +16,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(pick(docs, "doc_id", "text"), dropped_col="lines_dropped")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents")).select("doc_id", "rule", "n_matches")
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
 }
 ORACLES = {
+    "op2_ngram_join": ngram_join.sql(),
     "op3_line_dedup": lines.sql(),
+    "op4_secret_scan": secrets.sql(),
 }
