@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm import line_dedup as lines
-from gleanspark.llm import ngram_join, secrets
+from gleanspark.llm import ngram_join, secrets, substring
 from gleanspark.llm.decontam import decontaminate
 from gleanspark.llm.common import pick, table
 
@@ -28,11 +28,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents")).select("doc_id", "rule", "n_matches")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.sql(),
