@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanspark.llm import line_dedup as lines
 from gleanspark.llm import ngram_join, secrets, substring
 from gleanspark.llm.decontam import decontaminate
+from gleanspark.llm.quality import quality_scores
 from gleanspark.llm.common import pick, table
 
 
@@ -32,11 +33,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality": op5_quality,
     "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES = {
