@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanspark.llm import line_dedup as lines
 from gleanspark.llm import ngram_join, secrets, substring
+from gleanspark.llm.common import pick, table
 from gleanspark.llm.decontam import decontaminate
+from gleanspark.llm.langid import language_id
 from gleanspark.llm.quality import quality_scores
-from gleanspark.llm.common import pick, table
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLES = {
