@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanspark.llm import line_dedup as lines
-from gleanspark.llm import ngram_join, secrets, substring
+from gleanspark.llm import chat, ngram_join, secrets, substring
+from gleanspark.llm.ann import ann_search
 from gleanspark.llm.common import pick, table
 from gleanspark.llm.decontam import decontaminate
 from gleanspark.llm.langid import language_id
+from gleanspark.llm.packing import best_fit_packing
 from gleanspark.llm.quality import quality_scores
 
 
@@ -41,6 +43,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_rows(table(spark, sf_dir, "conversations"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -49,9 +63,13 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_packing": op9_packing,
+    "op10_ann": op10_ann,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.sql(),
     "op3_line_dedup": lines.sql(),
     "op4_secret_scan": secrets.sql(),
+    "op8_chat_format": chat.sql(),
 }
