@@ -32,6 +32,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*by_position).select(*[F.col(by_position[df.columns.index(n)]).alias(n) for n in names])
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by place, so that none clash (in any case), and each old name's new one. ``toDF`` names them back."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {old: new for old, new in reversed(list(zip(df.columns, names, strict=True)))}
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken, name = {c.lower() for c in df.columns}, f"_{base}"
@@ -53,12 +59,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder and read from there: it survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``docs`` less the rows whose ``doc_id`` is among ``ids`` (distinct); rows without an id stay. The ids are broadcast only if counted few."""
+    plain, at = by_position(docs)
+    listed = checkpointed(ids.toDF("listed"))
+    return plain.join(maybe_broadcast(listed, listed.count(), most_rows), F.col(at["doc_id"]) == F.col("listed"), "left_anti").toDF(*docs.columns)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     """``df`` as a broadcast side if its counted rows are few enough; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most_rows else df

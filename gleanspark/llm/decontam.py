@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import EDGES, Tokens, by_slices, hash_strings, keep_tokens, maybe_broadcast, offsets_of, pick, raw_tokens, window_hashes
+from gleanspark.llm.common import EDGES, Tokens, by_slices, hash_strings, keep_tokens, maybe_broadcast, offsets_of, pick, raw_tokens, window_hashes, without_ids
 
 #: Tokens a window.
 WINDOW = 8
@@ -210,3 +210,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
     out = out.withColumn("coverage", F.round(F.col("matched") / F.col("n_windows"), 6))
     return out.filter(F.col("consistent") & (F.col("coverage") >= min_coverage)).select("doc_id", "item_id", "matched", "coverage", "same_values", "consistent")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``docs``, with their columns, less those that ``decontaminate`` reports. Rows without an id or text stay."""
+    return without_ids(docs, decontaminate(docs, benchmark, window, min_coverage).select("doc_id").distinct())

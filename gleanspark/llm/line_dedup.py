@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import checkpointed, fresh
+from gleanspark.llm.common import by_position, checkpointed
 
 #: A line may stand in so many documents.
 MAX_DOCS = 20
@@ -25,7 +25,7 @@ def line_hash(line: Column) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, max_docs: int = MAX_DOCS, keep_first: bool = False, drop_emptied: bool = False, dropped_col: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, max_docs: int = MAX_DOCS, keep_first: bool = False, drop_emptied: bool = False, dropped_col: str | None = None, chars_col: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with its columns and rows, less the lines that stand in more than ``max_docs`` distinct documents.
 
@@ -33,12 +33,13 @@ def line_dedup(
     the document of the smallest id keeps a repeated line. With ``drop_emptied`` a document all of whose
     lines were dropped goes too. A null text stays null; an empty one stays empty. Repeated rows of one id
     count as one document and are treated alike; rows without an id count as one document per distinct text
-    (and come first where ids are compared). ``dropped_col`` names a column to add: lines dropped. Other columns are carried along, whatever their names.
+    (and come first where ids are compared). ``dropped_col`` names a column to add: lines dropped. ``chars_col`` names a column that is to follow the text's length. Other columns are carried along, whatever their names.
     """
-    key, lines, gone = (fresh(docs, x) for x in ("key", "lines", "gone"))
-    text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    plain, at = by_position(docs)
+    key, lines, gone = "key", "lines", "gone"
+    text, doc = F.col(at[text_col]), F.col(at[id_col])
     # equal (id, text) rows have equal lines, so this key serves to bring results back
-    keyed = docs.withColumn(key, F.xxhash64(doc, text))
+    keyed = plain.withColumn(key, F.xxhash64(doc, text))
     each = keyed.select(
         F.col(key).alias("k"),
         doc.alias("id"),
@@ -56,10 +57,12 @@ def line_dedup(
     out = keyed.join(drops, key, "left").withColumn(lines, F.when(touched, kept))
     if drop_emptied:
         out = out.filter(~touched | (F.trim(F.regexp_replace(F.array_join(lines, " "), "[ \t\r]+", " ")) != ""))
-    columns = [F.when(touched, F.array_join(lines, "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    left = F.when(touched, F.array_join(lines, "\n")).otherwise(text)
+    new = {text_col: left, chars_col: F.when(touched, F.length(left).cast("long")).otherwise(F.col(at[chars_col])) if chars_col else None}
+    columns = [new[c].alias(at[c]) if c in new else F.col(x) for c, x in zip(docs.columns, plain.columns, strict=True)]
     if dropped_col:
-        columns.append(F.when(touched, F.size(F.split(text, "\n")) - F.size(lines)).otherwise(0).cast("long").alias(dropped_col))
-    return out.select(*columns)
+        columns.append(F.when(touched, F.size(F.split(text, "\n")) - F.size(lines)).otherwise(0).cast("long"))
+    return out.select(*columns).toDF(*docs.columns, *([dropped_col] if dropped_col else []))
 
 
 def sql(max_docs: int = MAX_DOCS) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gleanspark.llm.common import by_slices, checkpointed, maybe_broadcast, mix64, offsets_of, pick, window_hashes, words
+from gleanspark.llm.common import by_position, by_slices, checkpointed, maybe_broadcast, mix64, offsets_of, pick, window_hashes, without_ids, words
 
 N = 3
 THRESHOLD = 0.8
@@ -297,6 +297,22 @@ def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESH
     return families(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, with their columns, less all of a group of near duplicates but that of the smallest id.
+
+    Rows without an id stay, and so do texts without a word. Of rows that repeat an id the one of the smallest text stays.
+    """
+    left = without_ids(docs, near_duplicate_groups(docs, n, threshold).select("node"))
+    again = checkpointed(pick(docs, "doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    plain, at = by_position(left)
+    doc, marked = F.col(at["doc_id"]), again.toDF("again")
+    order = Window.partitionBy(doc).orderBy(at["text"], *[F.xxhash64(c) for c in plain.columns])
+    one = plain.join(marked, doc == F.col("again"), "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    return plain.join(marked, doc == F.col("again"), "left_anti").unionByName(one).toDF(*docs.columns)
+
+
 def sql(n: int = N, threshold: float = THRESHOLD) -> str:
     """The rows of ``ngram_jaccard_join`` by an inverted index over all grams."""
     gram = "||' '||".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
