@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at a time inside a batch; bounds a worker's memory whatever the batch holds.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -189,6 +189,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
     for i, s in enumerate(size):
         if total + s > most and i > start:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()  # else a worker keeps what its largest slice took, for all stages to come
             start, total = i, 0
         total += s
     if start < batch.num_rows:
