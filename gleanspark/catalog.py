@@ -1,22 +1,8 @@
-"""Named queries over the test tables, each with its SQL equivalent where there is one."""
+"""All named queries over the given tables, each with its SQL equivalent where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gleanspark.queries import indexing, pages, retrieval, scoring, words  # noqa: F401  (they register theirs)
+from gleanspark.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES"]

@@ -82,7 +82,10 @@ Rule = tuple[str, Callable[[str], str]]  # a suffix; the word's new form from it
 def _case(d: Dialect, rules: list[Rule], word: str) -> str:
     """The first rule whose suffix the word has decides, even where it changes nothing."""
     arms = [f"when {d.ends(word, s)} then {new(f'left({word}, length({word}) - {len(s)})')}" for s, new in rules]
-    return f"case {' '.join(arms)} else {word} end"
+    if len(rules) < 5:
+        return f"case {' '.join(arms)} else {word} end"
+    last = ", ".join(sorted({quoted(s[-1]) for s, _ in rules}))
+    return f"case when right({word}, 1) not in ({last}) then {word} {' '.join(arms)} else {word} end"
 
 
 def stem_steps(d: Dialect) -> list[dict[str, Callable[[Callable[[str], str]], str]]]:
@@ -152,20 +155,24 @@ def stem_steps(d: Dialect) -> list[dict[str, Callable[[Callable[[str], str]], st
         return _case(d, [("er", bounded(r1, "er")), ("est", bounded(r1, "est"))], w)
 
     def ready(x):
-        arms = " ".join(f"when {x} = '{a}' then '{b}'" for a, b in IRREGULAR.items())
+        arms = " ".join(f"when '{a}' then '{b}'" for a, b in IRREGULAR.items())
         stop = ", ".join(quoted(w) for w in ["", *STOP])
-        return f"case when {x} in ({stop}) then '' {arms} when {d.octets(x)} < 3 then {x} end"
+        irregular = ", ".join(quoted(w) for w in IRREGULAR)
+        return f"case when {x} in ({stop}) then '' when {d.octets(x)} < 3 then {x} when {x} in ({irregular}) then case {x} {arms} end end"
 
-    def marked(x):
+    def marked(x, done):
+        # null for what is done, which makes all later steps cheap
         bare = f"case when left({x}, 1) = '''' then substr({x}, 2) else {x} end"
-        return d.replaced(d.replaced(bare, "^y", "Y"), "([aeiouy])y", "{1}Y")
+        with_y = d.replaced(d.replaced(bare, "^y", "Y"), "([aeiouy])y", "{1}Y")
+        return f"case when {done} is not null then null when instr({x}, 'y') > 0 then {with_y} else {bare} end"
 
     def region(x):
         return f"nullif(length(regexp_extract({x}, '{FIRST_REGION}', 0)), 0)"
 
     return [
         {"s": lambda g: d.right_trimmed(g("t"), CLOSERS)},
-        {"done": lambda g: ready(g("s")), "w": lambda g: marked(g("s"))},
+        {"done": lambda g: ready(g("s")), "s": lambda g: g("s")},
+        {"done": lambda g: g("done"), "w": lambda g: marked(g("s"), g("done"))},
         {"done": lambda g: g("done"), "w": lambda g: g("w"), "r1": lambda g: f"coalesce({region(g('w'))}, length({g('w')}))"},
         {"done": lambda g: g("done"), "w": lambda g: phase_0(g("w")), "r1": lambda g: g("r1"), "r2": lambda g: f"{g('r1')} + coalesce({region(f'substr({g("w")}, {g("r1")} + 1)')}, length({g('w')}) - {g('r1')})"},
         *[
