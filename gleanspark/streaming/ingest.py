@@ -14,8 +14,12 @@ RAW = "page_id long, url string, html string"
 
 
 def page_stream(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame:
-    """Pages of files that appear in ``path``, each URL once for as long as the checkpoint lives."""
-    raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """Pages of files that appear in the folder ``path`` (or of the one file), each URL once for as long as the checkpoint lives."""
+    reader = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_a_batch)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(at):  # a stream reads folders
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    raw = reader.parquet(path)
     return raw.filter("url is not null").dropDuplicates(["url"])
 
 
