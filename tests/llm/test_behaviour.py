@@ -95,7 +95,7 @@ def test_ngram_join_against_brute_force(spark):
     for x, a in enumerate(reps):
         for b in reps[x + 1 :]:
             j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= 0.8 - 1e-9:
+            if j >= ngram_join.THRESHOLD - 1e-9:
                 want[a, b] = round(j, 6)
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()}
     assert got == want
@@ -350,7 +350,7 @@ def test_pipeline_against_brute_force(spark, sf_dir, tmp_path):
             ids = sorted(sets)
             for x, a in enumerate(ids):
                 for b in ids[x + 1 :]:
-                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                    if len(sets[a] & sets[b]) >= ngram_join.THRESHOLD * len(sets[a] | sets[b]) - 1e-9:
                         u, v = sorted((root(a), root(b)))
                         group[v] = u
             assert after == {i: t for i, t in before.items() if root(i) == i}
