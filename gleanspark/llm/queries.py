@@ -32,7 +32,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring.span_texts(substring.repeated_passages(table(spark, sf_dir, "documents")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLES = {
     "op2_ngram_join": ngram_join.sql(),
     "op3_line_dedup": lines.sql(),
     "op4_secret_scan": secrets.sql(),
+    "op7_substring_dedup": substring.sql(),
     "op8_chat_format": chat.sql(),
 }

@@ -204,14 +204,24 @@ def union(pos: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(pos[np.append(0, cut + 1)].tolist(), (pos[np.append(cut, len(pos) - 1)] + window).tolist(), strict=True))
 
 
+def span_texts(passages: DataFrame) -> DataFrame:
+    """``repeated_passages`` with the spans written as ``start-end start-end``, which SQL engines compare alike."""
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
+    return passages.select("doc_id", "n_words", written("spans").alias("spans"), written("drop_spans").alias("drop_spans"))
+
+
 def sql(window: int = WINDOW) -> str:
-    """doc_id and n_words of ``repeated_passages``, from all windows as strings."""
+    """The rows of ``span_texts``, from all windows as strings."""
     return rf"""
     with d as (
         select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\v]+'),
             lambda x: lower(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))), lambda x: x <> '') w from documents),
     p as (select doc_id, w, unnest(range(len(w) - {window - 1})) pos from d where len(w) >= {window}),
     h as (select doc_id, pos, md5(array_to_string(w[pos + 1 : pos + {window}], ' ')) x from p),
-    r as (select doc_id, pos from (select doc_id, pos, min(doc_id) over (partition by x) a, max(doc_id) over (partition by x) b from h) where a <> b),
-    n as (select doc_id, pos, lead(pos) over (partition by doc_id order by pos) nxt from r)
-    select doc_id, cast(sum(least({window}, coalesce(nxt - pos, {window}))) as bigint) n_words from n group by doc_id"""
+    r as (select doc_id, pos, doc_id > a later from (select doc_id, pos, min(doc_id) over (partition by x) a, max(doc_id) over (partition by x) b from h) where a <> b),
+    k as (select doc_id, pos, 's' kind from r union all select doc_id, pos, 'd' from r where later),
+    m as (select *, case when pos - lag(pos) over (partition by doc_id, kind order by pos) <= {window} then 0 else 1 end fresh from k),
+    g as (select *, sum(fresh) over (partition by doc_id, kind order by pos) nth from m),
+    i as (select doc_id, kind, nth, min(pos) a, max(pos) + {window} b from g group by all)
+    select doc_id, cast(sum(b - a) filter (where kind = 's') as bigint) n_words, string_agg(a || '-' || b, ' ' order by a) filter (where kind = 's') spans,
+        coalesce(string_agg(a || '-' || b, ' ' order by a) filter (where kind = 'd'), '') drop_spans from i group by doc_id"""

@@ -211,13 +211,6 @@ def test_substring_against_brute_force(spark):
     assert {k: v[:2] for k, v in got.items()} == want and all(len(a) == n for a, _, n in got.values())
 
 
-def test_substring_sql(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    duckdb.sql(f"create or replace view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
-    want = dict(duckdb.sql(substring.sql()).fetchall())
-    assert dict(substring.repeated_passages(documents).select("doc_id", "n_words").collect()) == want
-
-
 def test_chat_parts(spark):
     j = json.dumps
     rows = [
