@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import checkpointed, mix64, pick
+from gleanspark.llm.common import checkpointed, lowest_hashes, mix64, pick
 
 K = 10
 TABLES = 4
@@ -183,7 +183,7 @@ def exact_neighbours(vectors: DataFrame, dim: int, q_ids: np.ndarray, q: np.ndar
 
 def choose(vectors: DataFrame, dim: int, n: int, k: int, recall: float, tables: int) -> tuple[Tables, int]:
     """The hash functions and the number of probes a table that reach the recall on the sample."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    sample = lowest_hashes(vectors.withColumn("o", F.xxhash64("id")), "o", n, SAMPLE).orderBy("o", "id").limit(SAMPLE).toArrow()
     q_ids, q = sample.column("id").to_numpy(), matrix(sample.column("v"), dim)
     truth = exact_neighbours(vectors, dim, q_ids, q, k)
     row = np.repeat(np.arange(len(q)), [len(t) for t in truth])

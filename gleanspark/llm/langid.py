@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import Tokens, hash_strings, mix64, pick, text_slices, words
+from gleanspark.llm.common import Tokens, hash_strings, lowest_hashes, mix64, pick, text_slices, words
 
 FEATURE_BITS = 16
 #: Documents used for training at most, and words taken from each.
@@ -229,8 +229,10 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> Field:
 
 def training_sample(docs: DataFrame, most: int = MAX_DOCS) -> tuple[list[str], list[str]]:
     """Beginnings of at most ``most`` documents with a language, those of the smallest hashes of their texts; a model's sample, not a corpus statistic."""
+    labelled = pick(docs, "lang").filter("lang is not null").count()
     d = pick(docs, "text", "lang").filter("text is not null and lang is not null")
-    d = d.select(F.substring("text", 1, 12 * MAX_WORDS).alias("text"), "lang", F.xxhash64("text", "lang").alias("o"))
+    d = lowest_hashes(d.withColumn("o", F.xxhash64("text", "lang")), "o", labelled, most)
+    d = d.select(F.substring("text", 1, 12 * MAX_WORDS).alias("text"), "lang", "o")
     rows = d.orderBy("o", "lang", "text").limit(most).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 

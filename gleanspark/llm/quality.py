@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import fresh, hash_strings, mix64, pick, raw_tokens, text_slices
+from gleanspark.llm.common import fresh, hash_strings, lowest_hashes, mix64, pick, raw_tokens, text_slices
 
 BUCKETS, DIM, SIGNS, REACH = 1 << 13, 32, 4, 2
 #: Labelled documents used for training at most.
@@ -198,7 +198,7 @@ def train(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, epochs: int = 60,
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled documents, those of the smallest hashes of their ids; one row an id."""
     y = pick(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    chosen = y.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
+    chosen = lowest_hashes(y.withColumn("o", F.xxhash64("doc_id")), "o", y.count(), most).orderBy("o", "doc_id").limit(most)
     return pick(docs, "doc_id", "text").filter("doc_id is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
