@@ -277,7 +277,7 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, tables: i
         pairs_q = np.repeat(np.arange(len(queries)), off[queries + 1] - off[queries])
         pairs_c = np.concatenate([flat[off[i] : off[i + 1]] for i in queries]) if len(queries) else np.empty(0, np.int64)
         by_code = np.argsort(pairs_c, kind="stable")
-        best, best_ids = np.full((len(queries), k), -np.inf, np.float32), np.full((len(queries), k), -1, np.int64)
+        best, best_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
         for code in np.unique(bucket_of):
             a, z = np.searchsorted(bucket_of, [code, code + 1])
             mine = pairs_q[by_code[slice(*np.searchsorted(pairs_c, [code, code + 1], sorter=by_code))]]
@@ -296,9 +296,16 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, tables: i
                     best[q[on]], best_ids[q[on]] = _merged(best[q[on]], best_ids[q[on]], new, new_ids, k)
         keep = best > -np.inf
         has = np.flatnonzero(keep.any(1))
+        # products of blocks differ in the last bits from one shape to another; the cosine that is given depends on the two vectors alone
+        by_id = rows[np.argsort(ids[rows], kind="stable")]
+        q, c = np.nonzero(keep)
+        for i in range(0, len(q), 16 * BLOCK):
+            a, z = q[i : i + 16 * BLOCK], c[i : i + 16 * BLOCK]
+            other = by_id[np.searchsorted(ids[by_id], best_ids[a, z])]
+            best[a, z] = (x[queries[a]].astype(np.float64) * x[other]).sum(1)
         n_of = keep[has].sum(1)
         lists = lambda v: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_of)).astype(np.int32)), pa.array(v[has][keep[has]]))
-        return pa.table({"id": ids[queries[has]], "near": lists(best_ids), "cos": lists(np.round(best.astype(np.float64), 6))})
+        return pa.table({"id": ids[queries[has]], "near": lists(best_ids), "cos": lists(np.round(best, 6))})
 
     sent = base.mapInArrow(send, "shard long, side int, id long, v binary, codes array<long>")
     found = sent.groupBy("shard").applyInArrow(search, "id long, near array<long>, cos array<double>")
@@ -313,7 +320,13 @@ def _rows(shard: np.ndarray, side: int, ids: np.ndarray, v: pa.Array, codes: np.
 
 
 def _merged(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of both. A shard has buckets of several tables, so an id may come again: it takes one place."""
     s, i = np.concatenate([a, b], 1), np.concatenate([a_ids, b_ids], 1)
+    order = np.lexsort((-s, i), axis=1)
+    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    again = np.zeros(i.shape, bool)
+    again[:, 1:] = i[:, 1:] == i[:, :-1]
+    s, i = np.where(again, -np.inf, s), np.where(again, -1, i)
     order = np.lexsort((i, -s), axis=1)[:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 

@@ -305,6 +305,19 @@ def test_ann_recall(spark):
     assert (got.groupby("vec_id")["rank"].apply(list).map(lambda r: r == list(range(1, 11)))).all()
 
 
+def test_ann_recall_where_tables_share_a_shard(spark):
+    """A neighbour found through several tables takes one of the k places, not several."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(15, 64)), 40, 0) + rng.normal(size=(600, 64)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    got = ann_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    near = got.groupby("vec_id").neighbor_id.apply(list)
+    assert len(near) == 600 and all(len(set(v)) == len(v) == 10 for v in near)
+    assert np.mean([len(set(near[i]) & set(np.argsort(-row)[:10])) / 10 for i, row in enumerate(s)]) >= 0.9
+
+
 def test_hashing():
     x = np.random.default_rng(1).normal(size=(5, 8)).astype(np.float32)
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
