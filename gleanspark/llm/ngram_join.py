@@ -9,7 +9,7 @@ Such a bound separates single points but not large boxes: points of unlike texts
 a box of the upper tree levels is wide, so one tree over the whole corpus is searched nearly in full, by every
 row. Documents are therefore routed first: minhash bands link documents that may be similar, and each connected
 family has its own tree, its leaves of up to ``LEAF_DOCS`` documents being joined as independent tasks. A pair
-of similarity 0.7 is missed by the routing with a probability of two in a million, one of 0.6 of four in ten thousand.
+of similarity 0.5 is missed by the routing with a probability of two in ten thousand, one of 0.6 of two in ten million.
 
 Sets that are equal are one point: the copies are tied to the smallest id, so that thousands of copies of a
 text make as many rows and not millions.
@@ -29,10 +29,10 @@ from pyspark.sql.window import Window
 from gleanspark.llm.common import by_position, by_slices, checkpointed, maybe_broadcast, mix64, offsets_of, pick, window_hashes, without_ids, words
 
 N = 3
-#: Copies edited here and there come down to 0.6; unlike texts that share a passage stay well below 0.5.
-THRESHOLD = 0.6
+#: Copies edited here and there come down to 0.5; unlike texts that share a passage stay below.
+THRESHOLD = 0.5
 GROUPS = 64
-BANDS, BAND_ROWS = 32, 3
+BANDS, BAND_ROWS = 64, 3
 LEAF_DOCS = 1000
 FANOUT = 16
 

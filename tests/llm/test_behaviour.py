@@ -101,6 +101,17 @@ def test_ngram_join_against_brute_force(spark):
     assert got == want
 
 
+def test_ngram_join_finds_much_edited_copies(spark):
+    """Six of 60 words changed, none near another: 40 of 76 grams are shared, 0.526."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = rng.sample(WORDS, 66)
+        texts += [" ".join(base[:60]), " ".join(base[60 + i // 10] if i % 10 == 5 else w for i, w in enumerate(base[:60]))]
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()}
+    assert got == {(i, i + 1): round(40 / 76, 6) for i in range(0, 80, 2)}
+
+
 def test_tree_loses_none():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 6, (700, ngram_join.GROUPS)).astype(np.int32)
