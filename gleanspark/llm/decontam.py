@@ -2,8 +2,8 @@
 
 Numbers, units and names become typed placeholders, so that a question asked again with other values has the
 template of the original. Windows of template tokens are hashed and joined with the benchmark's; for each
-document and item the slot values of the matching windows are then compared: one value of the item must
-always have become the same value in the document. Documents whose matches cover enough of an item, with
+document, item and alignment of the two the slot values of the matching windows are then compared: one value
+of the item must always have become the same value there. Documents whose matches cover enough of an item, with
 consistent slots, are reported, with whether the values are the item's own.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanspark.llm.common import EDGES, Tokens, by_slices, hash_strings, keep_tokens, maybe_broadcast, offsets_of, pick, raw_tokens, window_hashes, without_ids
 
@@ -23,6 +24,8 @@ WINDOW = 8
 MIN_LITERALS = 5
 #: The part of an item's windows that a document must hold.
 MIN_COVERAGE = 0.6
+#: Alignments are taken together while each is so many tokens from the next at most.
+MOST_SHIFT = 4
 #: The prefilter's bits; fixed, so that what is broadcast doesn't grow with the benchmark.
 FILTER_BITS = 1 << 22
 
@@ -193,21 +196,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     hits = matching_windows(pick(docs, "doc_id", "text").filter("doc_id is not null"), sizes, prefilter(items)).distinct()
     theirs = items.select("item_id", "n", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
     pairs = hits.join(maybe_broadcast(theirs, n_rows, 50_000), ["n", "h"])
+    # an item's windows are judged together by alignment (document place less item place), by alignments close to
+    # each other (words put in or left out), and over the whole document
+    shift = F.col("at") - F.col("item_at")
+    in_order = Window.partitionBy("doc_id", "item_id").orderBy("shift", "at", "item_at", "slots")
+    pairs = pairs.withColumn("shift", shift).withColumn("far", (F.col("shift") - F.lag("shift").over(in_order) > MOST_SHIFT).cast("int"))
+    pairs = pairs.withColumn("near", F.sum(F.coalesce("far", F.lit(0))).over(in_order))
+    way = lambda k, c: F.struct(F.lit(k).alias("k"), c.cast("long").alias("c"))
+    pairs = pairs.withColumn("way", F.explode(F.array(way(0, F.lit(0)), way(1, F.col("near")), way(2, F.col("shift")))))
+    key = ["doc_id", "item_id", "way"]
     # the same window of an item may match at several places: the best is one with its own values, then the first
-    best = pairs.groupBy("doc_id", "item_id", "item_at").agg(
+    best = pairs.groupBy(*key, "item_at").agg(
         F.min(F.struct((F.col("slots") != F.col("item_slots")).alias("other"), F.col("at"), F.col("slots"), F.col("item_slots"))).alias("m"), F.max("n_windows").alias("n_windows")
     )
     mapping = F.explode_outer(F.arrays_zip(F.col("m.item_slots").alias("a"), F.col("m.slots").alias("b")))
-    flat = best.select("doc_id", "item_id", "item_at", "n_windows", F.col("m.other").alias("other"), mapping.alias("z"))
-    per_value = flat.groupBy("doc_id", "item_id", F.col("z.a").alias("a")).agg(
+    flat = best.select(*key, "item_at", "n_windows", F.col("m.other").alias("other"), mapping.alias("z"))
+    per_value = flat.groupBy(*key, F.col("z.a").alias("a")).agg(
         F.min("z.b").alias("least"), F.max("z.b").alias("most"), F.max("other").alias("other"), F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("ats")
     )
-    out = per_value.groupBy("doc_id", "item_id").agg(
+    out = per_value.groupBy(*key).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
         F.max("n_windows").alias("n_windows"),
         (~F.max("other")).alias("same_values"),
         F.min(F.col("least").isNull() | (F.col("least") == F.col("most"))).alias("consistent"),
     )
+    # of the consistent ways the one of the most windows
+    out = out.filter("consistent").groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "same_values", "n_windows", "consistent")).alias("o")).select("doc_id", "item_id", "o.*")
     out = out.withColumn("coverage", F.round(F.col("matched") / F.col("n_windows"), 6))
     return out.filter(F.col("consistent") & (F.col("coverage") >= min_coverage)).select("doc_id", "item_id", "matched", "coverage", "same_values", "consistent")
 

@@ -70,6 +70,17 @@ def test_decontamination_checks_slots(spark):
     assert [(x["doc_id"], x["same_values"]) for x in r] == [(1, False)]
 
 
+def test_decontamination_judges_each_alignment(spark):
+    """A part with one set of values before a whole copy with another, and a template twice in an item, hide nothing."""
+    rng = random.Random(3)
+    item = "a farmer has {} brown cows in the barn near the river and buys {} young goats from the market on monday so how many animals live there"
+    twice = "put {} red stones into the small box now then wait and put {} red stones into the small box now before you finally count what is in there"
+    part = " ".join(item.format(31, 44).split()[:16])
+    docs = [part + " " + sentence(rng, 30) + " " + item.format(5, 8) + " " + sentence(rng, 9), sentence(rng, 9) + " " + twice.format(6, 9), part + " " + sentence(rng, 30)]
+    items = spark.createDataFrame([(0, item.format(12, 7)), (1, twice.format(3, 4))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["same_values"]) for r in decontam.decontaminate(frame(spark, docs), items).collect()} == {(0, 0, False), (1, 1, False)}
+
+
 def test_ngram_join_against_brute_force(spark):
     rng = random.Random(2)
     texts = []
