@@ -28,6 +28,13 @@ MIN_COVERAGE = 0.6
 MOST_SHIFT = 4
 #: The prefilter's bits; fixed, so that what is broadcast doesn't grow with the benchmark.
 FILTER_BITS = 1 << 22
+#: The bits of a hash, from these on, that are looked up.
+PREFILTER = (0, 22)
+#: Kinds of windows: with slots for numbers, units and names; of the words as they stand in lower case.
+TYPED, WORDS = 0, 1
+KINDS = (TYPED, WORDS)
+#: A size of windows is this times the kind, and the tokens.
+KIND = 1 << 20
 
 NUMBER = r"^[+-]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*(?:%|st|nd|rd|th)?$"
 NUMBER_UNIT = r"^[+-]?[0-9]+(?:[.,][0-9]+)*(?:mm|cm|m|km|mg|g|kg|ml|l|s|ms|min|h|w|kw|v|hz|khz|mhz|ghz|kb|mb|gb|tb|usd|eur|gbp)$"
@@ -35,12 +42,12 @@ UNITS = "mm cm m km km/h mph mg g kg ml l s ms min h w kw v hz khz mhz ghz kb mb
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT, NUMBER_UNIT_SLOT = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3, 0xA4))
 
 
-def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token, flat over the documents: template value, hash of the word itself, whether it is a slot; and the documents' offsets.
+def template(texts: pa.Array, kinds: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the kinds: per token, flat over the documents: template value, hash of the word itself, whether it is a slot; and the documents' offsets.
 
     A number is <NUM>; a word of measure right after a number is <UNIT>; the two in one word are <NUM-UNIT>; a
     capitalised word that doesn't begin a sentence or line, and isn't all capitals, is <NAME>. Runs of names
-    count as one.
+    count as one. Of kind ``WORDS`` no token is a slot.
     """
     t = raw_tokens(texts, newline_token=True)
     v = t.vocab
@@ -68,14 +75,18 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         ended = ended[~blank]
         t = keep_tokens(t, ~empty)
     c = t.codes
-    value, word = own[c], own[c]
     is_number, is_joint = number[c], number_unit[c]
     after_number = np.zeros(len(c), bool)
     after_number[1:] = is_number[:-1]
     firsts = t.offsets[:-1][t.offsets[:-1] < len(c)]
     after_number[firsts] = False
     is_unit = unit[c] & after_number
-    is_name = capital[c] & ~ended & ~is_number & ~is_unit & ~is_joint
+    return [(own[c], own[c], np.zeros(len(c), bool), t.offsets) if k == WORDS else _typed(own[c], is_number, is_joint, is_unit, capital[c] & ~ended, firsts, t.offsets) for k in kinds]
+
+
+def _typed(word, is_number, is_joint, is_unit, is_name, firsts, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    c, value, word = word, word, word.copy()
+    is_name = is_name & ~is_number & ~is_unit & ~is_joint
     value = np.where(is_number, NUMBER_SLOT, np.where(is_joint, NUMBER_UNIT_SLOT, np.where(is_unit, UNIT_SLOT, np.where(is_name, NAME_SLOT, value))))
     slot = is_number | is_joint | is_unit | is_name
     # a run of names is one slot, whose word is the hash of the run
@@ -89,20 +100,25 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             heads = np.flatnonzero(~again)
             last = np.append(heads[1:], len(c)) - 1
         before = offsets_of((~again).astype(np.int64))
-        return value[heads], word[last], slot[heads], before[t.offsets]
-    return value, word, slot, t.offsets
+        return value[heads], word[last], slot[heads], before[offsets]
+    return value, word, slot, offsets
 
 
 def template_windows(texts: pa.Array, sizes: list[int]):
-    """(size, hash, flat start) of the windows with enough literals; then what ``template`` gives."""
-    value, word, slot, offsets = template(texts)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
+    """(size, hash, flat start, then what ``template`` gives) of the windows; those with slots need enough literals. A size is ``KIND`` x kind + tokens."""
+    kinds = tuple(sorted({n // KIND for n in sizes}))
+    made = dict(zip(kinds, template(texts, kinds), strict=True))
     out = []
-    for n in sizes:
+    for size in sizes:
+        kind, n = divmod(size, KIND)
+        value, word, slot, offsets = made[kind]
         h, start = window_hashes(value, offsets, n)
-        enough = literal[start + n] - literal[start] >= min(MIN_LITERALS, n)
-        out.append((n, h[enough], start[enough]))
-    return out, word, slot, offsets
+        if kind != WORDS:
+            literal = np.concatenate([[0], np.cumsum(~slot)])
+            enough = literal[start + n] - literal[start] >= min(MIN_LITERALS, n)
+            h, start = h[enough], start[enough]
+        out.append((size, h, start, word, slot, offsets))
+    return out
 
 
 def _values(word: np.ndarray, slot: np.ndarray, start: int, n: int) -> list[int]:
@@ -123,13 +139,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             if batch.column("item_id")[i].as_py() is None or text.as_py() is None:
                 continue
             one = pa.array([text.as_py()])
-            length = int(template(one)[3][-1])
-            n = min(window, length)
-            if n < MIN_LITERALS:
-                continue
-            ((_, h, start),), word, slot, _ = template_windows(one, [n])
-            for x, s in zip(h, start, strict=True):
-                rows.append((batch.column("item_id")[i].as_py(), n, int(x.view(np.int64)), int(s), _values(word, slot, s, n), len(h)))
+            for kind in KINDS:
+                n = min(window, int(template(one, (kind,))[0][3][-1]))
+                if n < MIN_LITERALS:
+                    continue
+                ((size, h, start, word, slot, _),) = template_windows(one, [kind * KIND + n])
+                for x, s in zip(h, start, strict=True):
+                    rows.append((batch.column("item_id")[i].as_py(), size, int(x.view(np.int64)), int(s), _values(word, slot, s, n), len(h)))
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
@@ -145,31 +161,33 @@ def matching_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> Dat
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         packed = shared.value
-        found, word, slot, offsets = template_windows(batch.column("text"), sizes)
-        cols: list[list] = [[], [], [], [], []]
-        ids = batch.column("doc_id")
-        for n, h, start in found:
-            low = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            some = np.flatnonzero(packed[low >> 3] & (128 >> (low & 7)).astype(np.uint8))
-            doc = np.searchsorted(offsets, start[some], side="right") - 1
-            for j, d in zip(some, doc, strict=True):
-                s = int(start[j])
-                cols[0].append(ids[int(d)].as_py())
-                cols[1].append(n)
-                cols[2].append(int(h[j].view(np.int64)))
-                cols[3].append(s - int(offsets[d]))
-                cols[4].append(_values(word, slot, s, n))
-        if not cols[0]:
-            return None
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, types, strict=True)], names=["doc_id", "n", "h", "at", "slots"])
+        parts = []
+        ids = batch.column("doc_id").cast(pa.int64())
+        for size, h, start, word, slot, offsets in template_windows(batch.column("text"), sizes):
+            some = np.arange(len(h))
+            for low in PREFILTER:
+                at = ((h[some] >> np.uint64(low)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                some = some[(packed[at >> 3] & (128 >> (at & 7)).astype(np.uint8)) > 0]
+            if not len(some):
+                continue
+            first = start[some]
+            doc = np.searchsorted(offsets, first, side="right") - 1
+            before, words = offsets_of(slot.astype(np.int64)), word[slot].view(np.int64)
+            low, count = before[first], before[first + size % KIND] - before[first]
+            ends = offsets_of(count)
+            flat = np.arange(ends[-1]) - np.repeat(ends[:-1] - low, count)
+            slots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words[flat], pa.int64()))
+            columns = [ids.take(pa.array(doc)), pa.array(np.full(len(some), size, np.int32)), pa.array(h[some].view(np.int64)), pa.array(first - offsets[doc]), slots]
+            parts.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h", "at", "slots"]))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
     return docs.mapInArrow(by_slices(run), DOC_SCHEMA)
 
 
 def prefilter(items: DataFrame) -> np.ndarray:
     """A fixed number of bits, set for the benchmark's hashes; what is collected can't exceed their number."""
-    slots = items.select(F.expr(f"cast(h & {FILTER_BITS - 1} as int)").alias("b")).distinct().toPandas()["b"]
+    places = F.explode(F.array(*[F.expr(f"cast(shiftrightunsigned(h, {low}) & {FILTER_BITS - 1} as int)") for low in PREFILTER]))
+    slots = items.select(places.alias("b")).distinct().toPandas()["b"]
     bits = np.zeros(FILTER_BITS, bool)
     bits[slots.to_numpy(dtype=np.int64)] = True
     return bits
@@ -183,6 +201,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     (distinct item windows found), ``coverage`` (of the item's windows), ``same_values`` (all slots have the item's
     values) and ``consistent`` (no value of the item became two different ones); only consistent rows are returned.
 
+    An item counts as found by its windows with slots, or by its windows of words as they stand (in any case), which
+    have no least number of literals: so items dense in numbers, units or names are found in verbatim copies.
+
     Documents or items without an id or a text, and items of fewer than ``MIN_LITERALS`` tokens, give no rows.
     Repeated rows of a document count once. Repeated items each give rows of their own id; rows of one item
     id with different texts are pooled. Other columns are ignored. Texts are searched whole.
@@ -199,12 +220,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     # an item's windows are judged together by alignment (document place less item place), by alignments close to
     # each other (words put in or left out), and over the whole document
     shift = F.col("at") - F.col("item_at")
-    in_order = Window.partitionBy("doc_id", "item_id").orderBy("shift", "at", "item_at", "slots")
+    kind = F.floor(F.col("n") / KIND).cast("int")
+    pairs = pairs.withColumn("kind", kind)
+    in_order = Window.partitionBy("doc_id", "item_id", "kind").orderBy("shift", "at", "item_at", "slots")
     pairs = pairs.withColumn("shift", shift).withColumn("far", (F.col("shift") - F.lag("shift").over(in_order) > MOST_SHIFT).cast("int"))
     pairs = pairs.withColumn("near", F.sum(F.coalesce("far", F.lit(0))).over(in_order))
     way = lambda k, c: F.struct(F.lit(k).alias("k"), c.cast("long").alias("c"))
     pairs = pairs.withColumn("way", F.explode(F.array(way(0, F.lit(0)), way(1, F.col("near")), way(2, F.col("shift")))))
-    key = ["doc_id", "item_id", "way"]
+    key = ["doc_id", "item_id", "kind", "way"]
     # the same window of an item may match at several places: the best is one with its own values, then the first
     best = pairs.groupBy(*key, "item_at").agg(
         F.min(F.struct((F.col("slots") != F.col("item_slots")).alias("other"), F.col("at"), F.col("slots"), F.col("item_slots"))).alias("m"), F.max("n_windows").alias("n_windows")
@@ -220,10 +243,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         (~F.max("other")).alias("same_values"),
         F.min(F.col("least").isNull() | (F.col("least") == F.col("most"))).alias("consistent"),
     )
-    # of the consistent ways the one of the most windows
-    out = out.filter("consistent").groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "same_values", "n_windows", "consistent")).alias("o")).select("doc_id", "item_id", "o.*")
-    out = out.withColumn("coverage", F.round(F.col("matched") / F.col("n_windows"), 6))
-    return out.filter(F.col("consistent") & (F.col("coverage") >= min_coverage)).select("doc_id", "item_id", "matched", "coverage", "same_values", "consistent")
+    # of the ways that pass, the one of the most windows; typed windows come first
+    passed = out.withColumn("coverage", F.round(F.col("matched") / F.col("n_windows"), 6)).filter(F.col("consistent") & (F.col("coverage") >= min_coverage))
+    one = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct((-F.col("kind")).alias("kind"), "matched", "same_values", "coverage", "consistent")).alias("o"))
+    return one.select("doc_id", "item_id", "o.matched", "o.coverage", "o.same_values", "o.consistent")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:

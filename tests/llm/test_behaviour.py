@@ -70,6 +70,14 @@ def test_decontamination_checks_slots(spark):
     assert [(x["doc_id"], x["same_values"]) for x in r] == [(1, False)]
 
 
+def test_decontamination_finds_verbatim_items_of_few_literals(spark):
+    rng = random.Random(4)
+    items = ["What is 12 plus 34", "Compute 12 + 34 * 5 - 7 / 2", "Berechne wie Anna Berta Carla und Doris Emil Franz 3 Kilo 4 Gramm 5 Liter teilen"]
+    docs = [f"{sentence(rng, 20)}. {t}? {sentence(rng, 20)}" for t in items] + [f"{sentence(rng, 20)}. What is 13 plus 34? {sentence(rng, 20)}", items[2].upper()]
+    r = decontam.decontaminate(frame(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(0, 0, True), (1, 1, True), (2, 2, True), (4, 2, True)} == {(x["doc_id"], x["item_id"], x["same_values"]) for x in r}
+
+
 def test_decontamination_judges_each_alignment(spark):
     """A part with one set of values before a whole copy with another, and a template twice in an item, hide nothing."""
     rng = random.Random(3)
