@@ -30,9 +30,13 @@ MOST_SHIFT = 4
 FILTER_BITS = 1 << 22
 #: The bits of a hash, from these on, that are looked up.
 PREFILTER = (0, 22)
-#: Kinds of windows: with slots for numbers, units and names; of the words as they stand in lower case.
-TYPED, WORDS = 0, 1
-KINDS = (TYPED, WORDS)
+#: Kinds of windows, first the ones that decide first: with slots for numbers, units and names; with words that
+#: begin a sentence as names too, where capitalised; with slots for numbers and units only, for texts of one case; of the
+#: words as they stand in lower case.
+TYPED, INITIALS, CASELESS, WORDS = 0, 1, 2, 3
+KINDS = (TYPED, INITIALS, CASELESS, WORDS)
+#: Tokens that a window of kind ``INITIALS`` is longer: it has more slots, and needs as many literals.
+LONGER = 4
 #: A size of windows is this times the kind, and the tokens.
 KIND = 1 << 20
 
@@ -81,7 +85,10 @@ def template(texts: pa.Array, kinds: tuple[int, ...]) -> list[tuple[np.ndarray,
     firsts = t.offsets[:-1][t.offsets[:-1] < len(c)]
     after_number[firsts] = False
     is_unit = unit[c] & after_number
-    return [(own[c], own[c], np.zeros(len(c), bool), t.offsets) if k == WORDS else _typed(own[c], is_number, is_joint, is_unit, capital[c] & ~ended, firsts, t.offsets) for k in kinds]
+    names = {TYPED: capital[c] & ~ended, INITIALS: capital[c], CASELESS: np.zeros(len(c), bool)}
+    # a run of names ends with its sentence
+    heads = {TYPED: firsts, INITIALS: np.flatnonzero(ended), CASELESS: firsts}
+    return [(own[c], own[c], np.zeros(len(c), bool), t.offsets) if k == WORDS else _typed(own[c], is_number, is_joint, is_unit, names[k], heads[k], t.offsets) for k in kinds]
 
 
 def _typed(word, is_number, is_joint, is_unit, is_name, firsts, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +147,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             one = pa.array([text.as_py()])
             for kind in KINDS:
-                n = min(window, int(template(one, (kind,))[0][3][-1]))
+                n = min(window + LONGER * (kind == INITIALS), int(template(one, (kind,))[0][3][-1]))
                 if n < MIN_LITERALS:
                     continue
                 ((size, h, start, word, slot, _),) = template_windows(one, [kind * KIND + n])
@@ -201,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     (distinct item windows found), ``coverage`` (of the item's windows), ``same_values`` (all slots have the item's
     values) and ``consistent`` (no value of the item became two different ones); only consistent rows are returned.
 
-    An item counts as found by its windows with slots, or by its windows of words as they stand (in any case), which
+    An item counts as found by the windows of any one kind. Those of words as they stand (in any case)
     have no least number of literals: so items dense in numbers, units or names are found in verbatim copies.
 
     Documents or items without an id or a text, and items of fewer than ``MIN_LITERALS`` tokens, give no rows.

@@ -78,6 +78,15 @@ def test_decontamination_finds_verbatim_items_of_few_literals(spark):
     assert {(0, 0, True), (1, 1, True), (2, 2, True), (4, 2, True)} == {(x["doc_id"], x["item_id"], x["same_values"]) for x in r}
 
 
+def test_decontamination_takes_names_that_begin_sentences(spark):
+    rng = random.Random(6)
+    item = "{0} has 5 apples. {0} buys 3 more. {0} gives 2 to Ann. How many does {0} have"
+    lower = item.format("Tom").replace("5", "8").lower()
+    docs = [f"{sentence(rng, 20)}. {t}? {sentence(rng, 20)}" for t in (item.format("Bob"), lower, item.format("Tom").upper())] + [sentence(rng, 60)]
+    r = decontam.decontaminate(frame(spark, docs), spark.createDataFrame([(7, item.format("Tom"))], "item_id long, text string")).collect()
+    assert {x["doc_id"]: x["same_values"] for x in r} == {0: False, 1: False, 2: True}
+
+
 def test_decontamination_judges_each_alignment(spark):
     """A part with one set of values before a whole copy with another, and a template twice in an item, hide nothing."""
     rng = random.Random(3)
