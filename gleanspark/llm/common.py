@@ -7,6 +7,7 @@ the dictionary all run in Arrow's C++ kernels, so that Python touches vectors an
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at a time inside a batch; bounds a worker's memory whatever the batch holds.
 SLICE_BYTES = 4 << 20
+#: Tables up to this size may be broadcast.
+MOST_BROADCAST = 16 << 20
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -81,16 +84,25 @@ def lowest_hashes(df: DataFrame, column: str, rows: int, most: int) -> DataFrame
     return df.filter(F.col(column) <= F.lit(-(1 << 63) + (1 << 64) * 2 * most // rows))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared checkpoint folder and read from there: like ``checkpointed``, for tables of which later steps need single columns."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose ``doc_id`` is among ``ids`` (distinct); rows without an id stay. The ids are broadcast only if counted few."""
     plain, at = by_position(docs)
     listed = checkpointed(ids.toDF("listed"))
-    return plain.join(maybe_broadcast(listed, listed.count(), most_rows), F.col(at["doc_id"]) == F.col("listed"), "left_anti").toDF(*docs.columns)
+    return plain.join(maybe_broadcast(listed), F.col(at["doc_id"]) == F.col("listed"), "left_anti").toDF(*docs.columns)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
-    """``df`` as a broadcast side if its counted rows are few enough; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= most_rows else df
+def maybe_broadcast(df: DataFrame, extra_bytes: int = 0) -> DataFrame:
+    """``df`` (written or checkpointed) as a broadcast side if it takes ``MOST_BROADCAST`` bytes at most by its counted rows; else
+    as it is, for a shuffled join. A row takes 16 bytes and 8 a column; ``extra_bytes`` is what columns of no fixed size take in all."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) + extra_bytes <= MOST_BROADCAST else df
 
 
 # --- vectors ---------------------------------------------------------------------------------------------
@@ -192,6 +204,22 @@ def window_hashes(values: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.n
     return mix64(h[starts]), starts
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by ``key``; no more is held than a batch and a group."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        keys = t.column(key).to_numpy()
+        other = np.flatnonzero(keys != keys[-1]) if len(keys) else keys
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded text size (a longer document is a piece of its own)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

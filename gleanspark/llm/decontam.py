@@ -5,6 +5,10 @@ template of the original. Windows of template tokens are hashed and joined with
 document, item and alignment of the two the slot values of the matching windows are then compared: one value
 of the item must always have become the same value there. Documents whose matches cover enough of an item, with
 consistent slots, are reported, with whether the values are the item's own.
+
+A window must hold enough literal tokens to say anything: five of eight. Where no window of an item does, windows
+of twice as many tokens are tried, and so on; an item shorter than a window is one window. What is left (items that
+are nearly all slots) is found by the words as they stand. ``unsearchable`` lists the items that no window covers.
 """
 
 from __future__ import annotations
@@ -16,20 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.llm.common import EDGES, Tokens, by_slices, hash_strings, keep_tokens, maybe_broadcast, offsets_of, pick, raw_tokens, window_hashes, without_ids
+from gleanspark.llm.common import EDGES, Tokens, by_slices, checkpointed, hash_strings, keep_tokens, maybe_broadcast, offsets_of, pick, raw_tokens, window_hashes, without_ids
 
 #: Tokens a window.
 WINDOW = 8
-#: A window must hold so many literal tokens, or placeholders alone would match anything.
+#: A window must hold so many literal tokens, or placeholders alone would match anything; one of fewer than ``WINDOW`` tokens, in proportion.
 MIN_LITERALS = 5
+#: Shorter items stand in any text.
+MIN_TOKENS = 4
 #: The part of an item's windows that a document must hold.
 MIN_COVERAGE = 0.6
 #: Alignments are taken together while each is so many tokens from the next at most.
 MOST_SHIFT = 4
-#: The prefilter's bits; fixed, so that what is broadcast doesn't grow with the benchmark.
-FILTER_BITS = 1 << 22
-#: The bits of a hash, from these on, that are looked up.
-PREFILTER = (0, 22)
+#: The prefilter has 32 bits a window of the benchmark, within these bounds (the upper one is 32 MB): two of a hash's ends are looked up.
+FILTER_BITS = (22, 28)
 #: Kinds of windows, first the ones that decide first: with slots for numbers, units and names; with words that
 #: begin a sentence as names too, where capitalised; with slots for numbers and units only, for texts of one case; of the
 #: words as they stand in lower case.
@@ -74,9 +78,8 @@ def template(texts: pa.Array, kinds: tuple[int, ...]) -> list[tuple[np.ndarray,
     # signs and line ends alone are no tokens; what they say about the next token is carried over them
     blank = empty[t.codes]
     if blank.any():
-        for i in np.flatnonzero(blank[:-1]):
-            ended[i + 1] |= ended[i]
-        ended = ended[~blank]
+        run = np.cumsum(~blank) - ~blank  # signs and the token after them share a number
+        ended = np.bincount(run, ended, len(blank) + 1)[run[~blank]] > 0
         t = keep_tokens(t, ~empty)
     c = t.codes
     is_number, is_joint = number[c], number_unit[c]
@@ -101,16 +104,20 @@ def _typed(word, is_number, is_joint, is_unit, is_name, firsts, offsets) -> tupl
     again[1:] = is_name[1:] & is_name[:-1]
     again[firsts] = False
     if again.any():
+        heads = np.flatnonzero(~again)
+        nth = np.arange(len(c)) - np.repeat(heads, np.diff(np.append(heads, len(c))))
         with np.errstate(over="ignore"):
-            for i in np.flatnonzero(again):
-                word[i] = word[i - 1] * np.uint64(31) + word[i]
-            heads = np.flatnonzero(~again)
-            last = np.append(heads[1:], len(c)) - 1
+            factor = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(nth.max()), 31, np.uint64)))
+            word = np.add.reduceat(word * factor[nth], heads)
         before = offsets_of((~again).astype(np.int64))
-        return value[heads], word[last], slot[heads], before[offsets]
+        return value[heads], word, slot[heads], before[offsets]
     return value, word, slot, offsets
 
 
+def least_literals(n: int) -> int:
+    return min(MIN_LITERALS, n * MIN_LITERALS // WINDOW)
+
+
 def template_windows(texts: pa.Array, sizes: list[int]):
     """(size, hash, flat start, then what ``template`` gives) of the windows; those with slots need enough literals. A size is ``KIND`` x kind + tokens."""
     kinds = tuple(sorted({n // KIND for n in sizes}))
@@ -122,7 +129,7 @@ def template_windows(texts: pa.Array, sizes: list[int]):
         h, start = window_hashes(value, offsets, n)
         if kind != WORDS:
             literal = np.concatenate([[0], np.cumsum(~slot)])
-            enough = literal[start + n] - literal[start] >= min(MIN_LITERALS, n)
+            enough = literal[start + n] - literal[start] >= least_literals(n)
             h, start = h[enough], start[enough]
         out.append((size, h, start, word, slot, offsets))
     return out
@@ -133,12 +140,12 @@ def _values(word: np.ndarray, slot: np.ndarray, start: int, n: int) -> list[int]
     return w[slot[start : start + n]].view(np.int64).tolist()
 
 
-ITEM_SCHEMA = "item_id long, n int, h long, at int, slots array<long>, n_windows int"
+ITEM_SCHEMA = "item_id long, variant long, n int, h long, at int, slots array<long>, n_windows int"
 DOC_SCHEMA = "doc_id long, n int, h long, at long, slots array<long>"
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All windows of each item; an item shorter than a window is one window of its own length."""
+    """All windows of each item; an item shorter than a window is one window of its own length. ``variant`` tells texts of one id apart."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
@@ -146,18 +153,22 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             if batch.column("item_id")[i].as_py() is None or text.as_py() is None:
                 continue
             one = pa.array([text.as_py()])
+            variant = int(hash_strings(one).view(np.int64)[0])
             for kind in KINDS:
-                n = min(window + LONGER * (kind == INITIALS), int(template(one, (kind,))[0][3][-1]))
-                if n < MIN_LITERALS:
-                    continue
-                ((size, h, start, word, slot, _),) = template_windows(one, [kind * KIND + n])
-                for x, s in zip(h, start, strict=True):
-                    rows.append((batch.column("item_id")[i].as_py(), size, int(x.view(np.int64)), int(s), _values(word, slot, s, n), len(h)))
+                tokens = int(template(one, (kind,))[0][3][-1])
+                n = min(window + LONGER * (kind == INITIALS), tokens)
+                while n >= MIN_TOKENS:
+                    ((size, h, start, word, slot, _),) = template_windows(one, [kind * KIND + n])
+                    for x, s in zip(h, start, strict=True):
+                        rows.append((batch.column("item_id")[i].as_py(), variant, size, int(x.view(np.int64)), int(s), _values(word, slot, s, n), len(h)))
+                    if len(h) or n * 2 > tokens:
+                        break
+                    n *= 2
         if not rows:
             return None
         c = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, types, strict=True)], names=["item_id", "n", "h", "at", "slots", "n_windows"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, types, strict=True)], names=["item_id", "variant", "n", "h", "at", "slots", "n_windows"])
 
     return pick(benchmark, "item_id", "text").mapInArrow(by_slices(run), ITEM_SCHEMA)
 
@@ -165,6 +176,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def matching_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFrame:
     """The windows of ``docs`` that pass the prefilter ``bits``; it loses none of the benchmark's."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    mask, high = np.uint64(len(bits) - 1), np.uint64(65 - len(bits).bit_length())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         packed = shared.value
@@ -172,8 +184,8 @@ def matching_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> Dat
         ids = batch.column("doc_id").cast(pa.int64())
         for size, h, start, word, slot, offsets in template_windows(batch.column("text"), sizes):
             some = np.arange(len(h))
-            for low in PREFILTER:
-                at = ((h[some] >> np.uint64(low)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            for shift in (np.uint64(0), high):
+                at = ((h[some] >> shift) & mask).astype(np.int64)
                 some = some[(packed[at >> 3] & (128 >> (at & 7)).astype(np.uint8)) > 0]
             if not len(some):
                 continue
@@ -191,11 +203,12 @@ def matching_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> Dat
     return docs.mapInArrow(by_slices(run), DOC_SCHEMA)
 
 
-def prefilter(items: DataFrame) -> np.ndarray:
-    """A fixed number of bits, set for the benchmark's hashes; what is collected can't exceed their number."""
-    places = F.explode(F.array(*[F.expr(f"cast(shiftrightunsigned(h, {low}) & {FILTER_BITS - 1} as int)") for low in PREFILTER]))
+def prefilter(items: DataFrame, rows: int) -> np.ndarray:
+    """Bits set for the benchmark's hashes, their number in proportion to its windows; what is collected can't exceed their number."""
+    width = min(max((32 * rows).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    places = F.explode(F.array(*[F.expr(f"cast(shiftrightunsigned(h, {low}) & {(1 << width) - 1} as int)") for low in (0, 64 - width)]))
     slots = items.select(places.alias("b")).distinct().toPandas()["b"]
-    bits = np.zeros(FILTER_BITS, bool)
+    bits = np.zeros(1 << width, bool)
     bits[slots.to_numpy(dtype=np.int64)] = True
     return bits
 
@@ -211,30 +224,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     An item counts as found by the windows of any one kind. Those of words as they stand (in any case)
     have no least number of literals: so items dense in numbers, units or names are found in verbatim copies.
 
-    Documents or items without an id or a text, and items of fewer than ``MIN_LITERALS`` tokens, give no rows.
-    Repeated rows of a document count once. Repeated items each give rows of their own id; rows of one item
-    id with different texts are pooled. Other columns are ignored. Texts are searched whole.
+    Documents or items without an id or a text, and items of fewer than ``MIN_TOKENS`` tokens (``unsearchable``), give no
+    rows. Repeated rows of a document count once. Repeated items each give rows of their own id; of different texts of one
+    item id each is judged alone, and the best counts: by kind of windows first, then by windows found, own values and coverage.
+    Other columns are ignored. Texts are searched whole; an empty table of either kind gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    items = item_windows(benchmark, window).cache()
+    items = checkpointed(item_windows(benchmark, window))
     stats = items.groupBy("n").count().collect()  # one row for each window size, so at most ``window``
     sizes, n_rows = sorted(r["n"] for r in stats), sum(r["count"] for r in stats)
     if not sizes:
         return spark.createDataFrame([], RESULT)
-    hits = matching_windows(pick(docs, "doc_id", "text").filter("doc_id is not null"), sizes, prefilter(items)).distinct()
-    theirs = items.select("item_id", "n", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
-    pairs = hits.join(maybe_broadcast(theirs, n_rows, 50_000), ["n", "h"])
+    hits = matching_windows(pick(docs, "doc_id", "text").filter("doc_id is not null"), sizes, prefilter(items, n_rows)).distinct()
+    theirs = items.select("item_id", "variant", "n", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows").distinct()
+    pairs = hits.join(maybe_broadcast(theirs, 8 * window * n_rows), ["n", "h"])
     # an item's windows are judged together by alignment (document place less item place), by alignments close to
     # each other (words put in or left out), and over the whole document
     shift = F.col("at") - F.col("item_at")
     kind = F.floor(F.col("n") / KIND).cast("int")
     pairs = pairs.withColumn("kind", kind)
-    in_order = Window.partitionBy("doc_id", "item_id", "kind").orderBy("shift", "at", "item_at", "slots")
+    in_order = Window.partitionBy("doc_id", "item_id", "variant", "kind").orderBy("shift", "at", "item_at", "slots")
     pairs = pairs.withColumn("shift", shift).withColumn("far", (F.col("shift") - F.lag("shift").over(in_order) > MOST_SHIFT).cast("int"))
     pairs = pairs.withColumn("near", F.sum(F.coalesce("far", F.lit(0))).over(in_order))
     way = lambda k, c: F.struct(F.lit(k).alias("k"), c.cast("long").alias("c"))
     pairs = pairs.withColumn("way", F.explode(F.array(way(0, F.lit(0)), way(1, F.col("near")), way(2, F.col("shift")))))
-    key = ["doc_id", "item_id", "kind", "way"]
+    key = ["doc_id", "item_id", "variant", "kind", "way"]
     # the same window of an item may match at several places: the best is one with its own values, then the first
     best = pairs.groupBy(*key, "item_at").agg(
         F.min(F.struct((F.col("slots") != F.col("item_slots")).alias("other"), F.col("at"), F.col("slots"), F.col("item_slots"))).alias("m"), F.max("n_windows").alias("n_windows")
@@ -256,6 +270,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return one.select("doc_id", "item_id", "o.matched", "o.coverage", "o.same_values", "o.consistent")
 
 
+def unsearchable(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows (item_id, text) of the benchmark that no window covers: without a text, too short, or without an id."""
+    known = item_windows(benchmark, window).select("item_id", "variant").distinct()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.fill_null(batch.column("text"), "")
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(hash_strings(texts).view(np.int64))], names=["item_id", "text", "variant"])
+
+    return pick(benchmark, "item_id", "text").mapInArrow(by_slices(run), "item_id long, text string, variant long").join(known, ["item_id", "variant"], "left_anti").drop("variant")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``docs``, with their columns, less those that ``decontaminate`` reports. Rows without an id or text stay."""
     return without_ids(docs, decontaminate(docs, benchmark, window, min_coverage).select("doc_id").distinct())
