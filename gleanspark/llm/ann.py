@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is turned by a pseudo-random rotation (three rounds of random signs and a fast Hadamard transform) and
-hashed to the nearest of the signed axes; a table combines ``PARTS`` such hashes. A query looks into the buckets
-of its own hash and of the next nearest axes (multiprobe), in ``TABLES`` tables, and all vectors found there are
-ranked by their exact cosines.
+hashed to the nearest of the signed axes; a table combines one or two such hashes. A query looks into the buckets
+of its own hash and of the next nearest axes (multiprobe), in each table, and all vectors found there are ranked
+by their exact cosines.
 
 How many buckets have to be probed for a recall depends on the data alone: near copies need one, vectors spread
 evenly over the sphere need many. It is measured: the exact neighbours of a bounded sample of queries are found
-over all vectors, and the least number of probes is taken that finds the wanted part of them.
-
-Buckets are laid out in shards of about ``SHARD_ROWS`` vectors. A query is sent once to each shard in which it
-probes a bucket, with the list of its buckets there; a bucket larger than a shard, or one that too many queries
-probe, is split over several tasks by hashes of ids. Nothing is left out for being in a large bucket.
+over all vectors, and for several numbers of tables the least number of probes is taken that finds the wanted part
+of them, both for the half of the sample whose neighbours are near and for the half whose neighbours are far. Of
+these the cheapest is used: a table costs another copy of the index in the shuffle, and saves ranking.
+
+The index lies in shards of about ``SHARD_ROWS`` vectors of neighbouring buckets; a bucket larger than a shard is
+split by hashes of ids. A query goes once to each shard in which it probes a bucket, with the distance up to which
+it probes, so that no list of buckets travels; a shard's task holds its vectors and streams the queries past
+them. Nothing is left out for being in a large bucket.
 """
 
 from __future__ import annotations
@@ -20,25 +23,31 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanspark.llm.common import checkpointed, lowest_hashes, mix64, pick
 
 K = 10
-TABLES = 4
+#: The rows whose id is divisible by this are the queries.
+QUERY_STEP = 20
+#: Numbers of tables that are tried.
+TABLES = (1, 2, 4, 8)
 #: The part of the sample's true neighbours that the probes must find; above 0.9 by a margin for the sample's error.
 RECALL = 0.94
-SAMPLE = 256
+#: Queries and vectors of the samples by which tables and probes are chosen.
+SAMPLE, SAMPLE_ROWS = 256, 20_000
 SHARD_ROWS = 20_000
-#: Queries that a task holds at most, about.
-SHARD_QUERIES = 60_000
-#: Vectors a bucket, on average, above which a further hash is combined.
-BUCKET_ROWS = 4096
-#: Probes are counted up to this; beyond it a table of fewer combined hashes is used.
-MOST_PROBES = 512
-BLOCK = 2048
+#: Queries that a task streams, about; a shard that more visit is copied.
+SHARD_QUERIES = 1_000_000
+#: Two hashes are combined where buckets then have so many vectors on average, and there are so many buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 64, 1 << 16
+BLOCK = 256
+#: For the choice: bytes shuffled and operations done in a second.
+SENT, DONE = 50e6, 5e9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -84,32 +93,27 @@ class Tables:
             out = out * (2 * y.shape[1]) + axis + y.shape[1] * (y[np.arange(len(y)), axis] < 0)
         return out
 
-    def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The ``n`` buckets of each row that are nearest to it, nearest first; its own is the first."""
-        at_once = max(1, (1 << 22) // (n * 2 * self.signs.shape[3]))  # rows; bounds the table of combinations
-        parts = [self._probes(x[i : i + at_once], table, n) for i in range(0, len(x), at_once)]
-        return np.concatenate(parts) if parts else np.zeros((0, n), np.int64)
-
-    def _probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
-        cost, code = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1), np.int64)
+    def distances(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each part, how far each row would have to move for another signed axis to be the nearest (squared)."""
+        out = []
         for part in range(self.signs.shape[1]):
             y = self.rotated(x, table, part)
             both = np.concatenate([y, -y], 1)
-            # how far the vector would have to move for the other axis to be the nearest
-            away = (both.max(1, keepdims=True) - both) ** 2
-            axes = _least(away, n)
-            total = (cost[:, :, None] + np.take_along_axis(away, axes, 1)[:, None, :]).reshape(len(x), -1)
-            codes = (code[:, :, None] * away.shape[1] + axes[:, None, :]).reshape(len(x), -1)
-            best = _least(total, n)
-            cost, code = np.take_along_axis(total, best, 1), np.take_along_axis(codes, best, 1)
-        return np.take_along_axis(code, np.argsort(cost, axis=1, kind="stable"), 1)
+            out.append((both.max(1, keepdims=True) - both) ** 2)
+        return out
+
+
+def at_buckets(away: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Distances of the rows from these buckets: the sums of the parts'."""
+    out = np.zeros((len(away[0]), len(codes)), np.float32)
+    for k, d in enumerate(away):
+        out += d[:, codes // d.shape[1] ** (len(away) - 1 - k) % d.shape[1]]
+    return out
 
 
-def _least(x: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n least of each row, in no order."""
-    if x.shape[1] <= n:
-        return np.broadcast_to(np.arange(x.shape[1]), x.shape)
-    return np.argpartition(x, n - 1, axis=1)[:, :n]
+def reach(away: list[np.ndarray], n: int) -> np.ndarray:
+    """The distance of each row's n-th nearest bucket."""
+    return np.partition(at_buckets(away, np.arange(away[0].shape[1] ** len(away))), n - 1, axis=1)[:, n - 1]
 
 
 # --- vectors in and out of Arrow -------------------------------------------------------------------------
@@ -181,29 +185,40 @@ def exact_neighbours(vectors: DataFrame, dim: int, q_ids: np.ndarray, q: np.ndar
     return out
 
 
-def choose(vectors: DataFrame, dim: int, n: int, k: int, recall: float, tables: int) -> tuple[Tables, int]:
-    """The hash functions and the number of probes a table that reach the recall on the sample."""
-    sample = lowest_hashes(vectors.withColumn("o", F.xxhash64("id")), "o", n, SAMPLE).orderBy("o", "id").limit(SAMPLE).toArrow()
+def choose(vectors: DataFrame, dim: int, n: int, n_asks: int, step: int, k: int, recall: float) -> tuple[Tables, int, float]:
+    """The hash functions, the number of probes a table that reach the recall on the sample, and the part of all vectors ranked by a query."""
+    hashed = vectors.withColumn("o", F.xxhash64("id"))
+    asks = hashed.filter(F.pmod("id", F.lit(step)) == 0)
+    sample = lowest_hashes(asks, "o", n_asks, SAMPLE).orderBy("o", "id").limit(SAMPLE).toArrow()
     q_ids, q = sample.column("id").to_numpy(), matrix(sample.column("v"), dim)
+    rows = matrix(lowest_hashes(hashed, "o", n, SAMPLE_ROWS).orderBy("o", "id").limit(SAMPLE_ROWS).select("v").toArrow().column("v"), dim)
     truth = exact_neighbours(vectors, dim, q_ids, q, k)
     row = np.repeat(np.arange(len(q)), [len(t) for t in truth])
     found = np.frombuffer(b"".join(v for t in truth for _, _, v in t), np.float32).reshape(-1, dim)
-    wide = 2 << max(1, int(dim - 1).bit_length())
-    parts = 1
-    while n / wide**parts > BUCKET_ROWS and parts < 3:
-        parts += 1
-    while True:
-        h = Tables.make(dim, tables, parts)
-        most = h.buckets if parts == 1 else min(h.buckets, MOST_PROBES)
-        rank = np.full(len(row), most)
-        for t in range(tables):
-            hit = h.probes(q, t, most)[row] == h.bucket(found, t)[:, None]
-            rank = np.minimum(rank, np.where(hit.any(1), hit.argmax(1), most))
-        share = np.cumsum(np.bincount(rank, minlength=most + 1)[:most]) / max(1, len(row))
-        enough = np.flatnonzero(share >= recall)
-        if len(enough) or parts == 1:  # with one hash, all buckets are all vectors
-            return h, int(enough[0]) + 1 if len(enough) else most
-        parts -= 1
+    farthest = np.array([t[-1][1] if t else 1.0 for t in truth])
+    far = (farthest <= np.median(farthest))[row] if len(row) else np.empty(0, bool)
+    halves = [x for x in (far, ~far) if x.any()]
+    full = Tables.make(dim, max(TABLES), 2)
+    full = full if full.buckets <= MOST_BUCKETS and n / full.buckets >= BUCKET_ROWS else Tables(full.signs[:, :1])
+    rank, ranked = np.full(len(row), full.buckets), np.zeros((len(q), full.buckets))
+    best = None
+    for t in range(max(TABLES)):
+        cost = at_buckets(full.distances(q, t), np.arange(full.buckets))
+        order = np.argsort(cost, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(full.buckets)[None], 1)
+        rank = np.minimum(rank, place[row, full.bucket(found, t)])
+        share = np.bincount(full.bucket(rows, t), minlength=full.buckets) / max(1, len(rows))
+        ranked += np.cumsum(share[order], 1)
+        if t + 1 not in TABLES:
+            continue
+        probes = max([int(np.searchsorted(np.cumsum(np.bincount(rank[x], minlength=full.buckets + 1)) / x.sum(), recall)) + 1 for x in halves], default=1)
+        probes = min(probes, full.buckets)
+        part = float(ranked[:, probes - 1].mean()) if len(q) else 0.0
+        seconds = (t + 1) * n * 4 * dim / SENT * (1 + n_asks / SHARD_ROWS) + n_asks * part * n * 2 * dim / DONE
+        if best is None or seconds < best[0]:
+            best = (seconds, Tables(full.signs[: t + 1]), probes, part)
+    return best[1:]
 
 
 # --- the search ------------------------------------------------------------------------------------------
@@ -211,8 +226,9 @@ def choose(vectors: DataFrame, dim: int, n: int, k: int, recall: float, tables:
 RESULT = "vec_id long, rank int, neighbor_id long, cosine double"
 
 
-def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, tables: int = TABLES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For every vector its nearest others: ``vec_id``, ``rank`` (from 1 to at most ``k``), ``neighbor_id``, ``cosine`` (six places).
+def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, step: int = QUERY_STEP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """For every vector whose id is divisible by ``step`` its nearest others of all vectors: ``vec_id``, ``rank`` (from 1 to at most ``k``),
+    ``neighbor_id``, ``cosine`` (six places).
 
     Cosines are exact; the search for candidates finds about ``recall`` of the true neighbours. Equal cosines are
     ranked by the smaller id. Rows without an id or a vector, vectors of nought or with a null or endless entry, and
@@ -222,130 +238,123 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, tables: i
     """
     spark = vectors.sparkSession
     base, dim, n = unit_vectors(vectors, id_col, vector_col)
-    if n < 2:
+    n_asks = base.filter(F.pmod("id", F.lit(step)) == 0).count()
+    if n < 2 or not n_asks:
         return spark.createDataFrame([], RESULT)
-    h, n_probes = choose(base, dim, n, k, recall, tables)
+    h, n_probes, part = choose(base, dim, n, n_asks, step, k, recall)
+    tables = len(h.signs)
     functions = spark.sparkContext.broadcast(h)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows and probes of each bucket, as far as this task goes."""
+        """Vectors of each bucket, as far as this task goes."""
+        total = np.zeros(tables * functions.value.buckets, np.int64)
         for b in batches:
             x = matrix(b.column("v"), dim)
             for t in range(tables):
-                for kind, codes in enumerate((functions.value.bucket(x, t), functions.value.probes(x, t, n_probes).ravel())):
-                    code, c = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t)), pa.array(code), pa.array(np.full(len(code), kind)), pa.array(c)], names=["t", "code", "kind", "n"])
+                total += np.bincount(t * functions.value.buckets + functions.value.bucket(x, t), minlength=len(total))
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
-    counted = base.mapInArrow(sizes, "t long, code long, kind long, n long").groupBy("t", "code").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("rows"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("probes"))
-    # at most tables x buckets rows; with two combined hashes of 64 dimensions that is 65,536
-    layout = spark.sparkContext.broadcast(shards(counted.filter("rows is not null").toPandas(), h.buckets))
+    # at most tables x MOST_BUCKETS rows
+    counted = base.mapInArrow(sizes, "code long, n long").groupBy("code").agg(F.sum("n").alias("rows")).toPandas()
+    layout = spark.sparkContext.broadcast(shards(counted, h.buckets, max(1, -(-int(n_asks * part) // SHARD_QUERIES))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, ids = matrix(b.column("v"), dim), b.column("id").to_numpy()
             own, their = mix64(ids.astype(np.uint64)), mix64(ids.astype(np.uint64) + np.uint64(1))
+            asks = np.flatnonzero(ids % step == 0)
             for t in range(tables):
-                keys, shard, split, spread = layout.value
-                # as a vector that is searched: to one of its bucket's parts
-                code = t * h.buckets + functions.value.bucket(x, t)
-                at = np.searchsorted(keys, code)
-                part = (own % split[at].astype(np.uint64)).astype(np.int64)
-                for q_part in range(int(spread[at].max())):
-                    some = np.flatnonzero(spread[at] > q_part)
-                    yield _rows(shard[at[some]] + part[some] * spread[at[some]] + q_part, 0, ids[some], b.column("v").take(pa.array(some)), code[some], np.arange(len(some) + 1))
-                # as a query: to each shard once, with its buckets there
-                codes = t * h.buckets + functions.value.probes(x, t, n_probes)
-                at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-                row, col = np.nonzero(keys[at] == codes)  # other buckets are empty
-                at, codes = at[row, col], codes[row, col]
-                for part in range(int(split[at].max(initial=0))):
-                    some = np.flatnonzero(split[at] > part)
-                    q_part = (their[row[some]] % spread[at[some]].astype(np.uint64)).astype(np.int64)
-                    where = shard[at[some]] + part * spread[at[some]] + q_part
-                    order = np.lexsort((where, row[some]))
-                    r, w, c = row[some][order], where[order], codes[some][order]
-                    head = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
-                    yield _rows(w[head], 1, ids[r[head]], b.column("v").take(pa.array(r[head])), c, np.append(head, len(c)))
-
-    def search(table: pa.Table) -> pa.Table:
-        side, ids, codes = table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("codes").combine_chunks()
-        off, flat = codes.offsets.to_numpy(), codes.values.to_numpy(zero_copy_only=False)
-        x = matrix(table.column("v"), dim)
-        rows, queries = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        order = rows[np.argsort(flat[off[rows]], kind="stable")]
-        bucket_of = flat[off[order]]
-        pairs_q = np.repeat(np.arange(len(queries)), off[queries + 1] - off[queries])
-        pairs_c = np.concatenate([flat[off[i] : off[i + 1]] for i in queries]) if len(queries) else np.empty(0, np.int64)
-        by_code = np.argsort(pairs_c, kind="stable")
-        best, best_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
-        for code in np.unique(bucket_of):
-            a, z = np.searchsorted(bucket_of, [code, code + 1])
-            mine = pairs_q[by_code[slice(*np.searchsorted(pairs_c, [code, code + 1], sorter=by_code))]]
-            members = order[a:z]
-            for i in range(0, len(mine), BLOCK):
-                q = mine[i : i + BLOCK]
-                for j in range(0, len(members), BLOCK):
-                    m = members[j : j + BLOCK]
-                    s = x[queries[q]] @ x[m].T
-                    s[ids[queries[q]][:, None] == ids[m][None]] = -np.inf
-                    # a row whose best new score doesn't reach its k-th best so far is done
-                    on = np.flatnonzero(s.max(1) >= best[q].min(1))
-                    if not len(on):
-                        continue
-                    new, new_ids = top_rows(s[on], ids[m], k)
-                    best[q[on]], best_ids[q[on]] = _merged(best[q[on]], best_ids[q[on]], new, new_ids, k)
-        keep = best > -np.inf
-        has = np.flatnonzero(keep.any(1))
-        # products of blocks differ in the last bits from one shape to another; the cosine that is given depends on the two vectors alone
-        by_id = rows[np.argsort(ids[rows], kind="stable")]
-        q, c = np.nonzero(keep)
-        for i in range(0, len(q), 16 * BLOCK):
-            a, z = q[i : i + 16 * BLOCK], c[i : i + 16 * BLOCK]
-            other = by_id[np.searchsorted(ids[by_id], best_ids[a, z])]
-            best[a, z] = (x[queries[a]].astype(np.float64) * x[other]).sum(1)
-        n_of = keep[has].sum(1)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_of)).astype(np.int32)), pa.array(v[has][keep[has]]))
-        return pa.table({"id": ids[queries[has]], "near": lists(best_ids), "cos": lists(np.round(best, 6))})
-
-    sent = base.mapInArrow(send, "shard long, side int, id long, v binary, codes array<long>")
-    found = sent.groupBy("shard").applyInArrow(search, "id long, near array<long>, cos array<double>")
-    zipped = F.arrays_zip(F.transform("cos", lambda c: -c).alias("far"), F.col("near").alias("near"))
-    ranked = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(zipped)))), 1, k).alias("n"))
-    return ranked.select(F.col("id").alias("vec_id"), F.posexplode("n").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.near").alias("neighbor_id"), (-F.col("x.far")).alias("cosine"))
-
-
-def _rows(shard: np.ndarray, side: int, ids: np.ndarray, v: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes))
-    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), v, lists], names=["shard", "side", "id", "v", "codes"])
-
-
-def _merged(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of both. A shard has buckets of several tables, so an id may come again: it takes one place."""
-    s, i = np.concatenate([a, b], 1), np.concatenate([a_ids, b_ids], 1)
-    order = np.lexsort((-s, i), axis=1)
-    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-    again = np.zeros(i.shape, bool)
-    again[:, 1:] = i[:, 1:] == i[:, :-1]
-    s, i = np.where(again, -np.inf, s), np.where(again, -1, i)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
-    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-
-
-def shards(counts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each bucket (table x buckets + code, in order): its first shard; the parts its vectors and its queries are split into."""
-    counts = counts.sort_values(["t", "code"])
-    keys = (counts["t"] * buckets + counts["code"]).to_numpy(np.int64)
-    rows, probes = counts["rows"].to_numpy(np.int64), counts["probes"].fillna(0).to_numpy(np.int64)
-    split, spread = -(-rows // SHARD_ROWS), np.maximum(1, -(-probes // SHARD_QUERIES))
-    shard, at, filled, asked = np.zeros(len(keys), np.int64), 0, 0, 0
-    for i in range(len(keys)):
-        alone = split[i] * spread[i] > 1
-        # small buckets share a shard while their vectors and queries stay few
-        if filled and (alone or filled + rows[i] > SHARD_ROWS or asked + probes[i] > 4 * SHARD_QUERIES):
-            at, filled, asked = at + 1, 0, 0
-        shard[i] = at
-        if alone:
-            at += split[i] * spread[i]
-        else:
-            filled, asked = filled + rows[i], asked + probes[i]
-    return keys, shard, split, spread
+                codes, shard, split, spread = layout.value[t]
+                # as a vector that is searched: to one of its bucket's parts, in each copy of the shard
+                code = functions.value.bucket(x, t)
+                at = np.searchsorted(codes, code)
+                where = shard[at] + (own % split[at].astype(np.uint64)).astype(np.int64) * spread
+                for copy in range(spread):
+                    yield _rows(where + copy, 0, ids, b.column("v"), code, np.zeros(len(ids), np.float32))
+                # as a query: to one copy of each shard in which it probes
+                heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                for i in range(0, len(asks), BLOCK):
+                    q = asks[i : i + BLOCK]
+                    away = functions.value.distances(x[q], t)
+                    to = reach(away, n_probes)
+                    row, col = np.nonzero(np.logical_or.reduceat(at_buckets(away, codes) <= to[:, None], heads, axis=1))
+                    parts = split[heads[col]]
+                    row, first = np.repeat(row, parts), np.repeat(shard[heads[col]], parts)
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    copy = (their[q[row]] % np.uint64(spread)).astype(np.int64)
+                    yield _rows(first + nth * spread + copy, 1, ids[q[row]], b.column("v").take(pa.array(q[row])), np.full(len(row), t), to[row])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by shard and side: a shard's vectors, then its queries."""
+        at, index, ready = None, [], None
+        for b in batches:
+            key = b.column("shard").to_numpy() * 2 + b.column("side").to_numpy()
+            for piece in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                if not len(piece):
+                    continue
+                part_, side = b.slice(int(piece[0]), len(piece)), int(key[piece[0]] % 2)
+                if key[piece[0]] // 2 != at:
+                    at, index, ready = key[piece[0]] // 2, [], None
+                if side == 0:
+                    index.append(part_)
+                elif index:
+                    ready = ready or _shard(index, dim)
+                    for i in range(0, part_.num_rows, BLOCK):
+                        yield _answers(functions.value, ready, part_.slice(i, BLOCK), dim, k)
+
+    sent = base.mapInArrow(send, "shard long, side int, id long, v binary, code long, reach float")
+    found = sent.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(search, "id long, near long, cos double")
+    once = found.groupBy("id", "near").agg(F.max("cos").alias("cos"))  # of the tables that found it
+    order = Window.partitionBy("id").orderBy(F.desc("cos"), "near")
+    ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("id").alias("vec_id"), "rank", F.col("near").alias("neighbor_id"), F.col("cos").alias("cosine"))
+
+
+def _rows(shard: np.ndarray, side: int, ids: np.ndarray, v: pa.Array, code: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), v, pa.array(code), pa.array(to.astype(np.float32))], names=["shard", "side", "id", "v", "code", "reach"])
+
+
+def _shard(index: list[pa.RecordBatch], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's ids and vectors in order of their buckets, the buckets, and where each begins."""
+    table = pa.Table.from_batches(index).combine_chunks()
+    code = table.column("code").to_numpy()
+    order = np.argsort(code, kind="stable")
+    codes, start = np.unique(code[order], return_index=True)
+    return table.column("id").to_numpy()[order], matrix(table.column("v"), dim)[order], codes, np.append(start, len(order))
+
+
+def _answers(h: Tables, shard: tuple, queries: pa.RecordBatch, dim: int, k: int) -> pa.RecordBatch:
+    """The k nearest that the shard has for each query, of the buckets that it probes."""
+    ids, x, codes, start = shard
+    q_ids, q = queries.column("id").to_numpy(), matrix(queries.column("v"), dim)
+    probed = at_buckets(h.distances(q, int(queries.column("code")[0].as_py())), codes) <= queries.column("reach").to_numpy()[:, None]
+    s = np.full((len(q), len(ids)), -np.inf, np.float32)
+    for i in np.flatnonzero(probed.any(0)):
+        some = np.flatnonzero(probed[:, i])
+        s[some, start[i] : start[i + 1]] = q[some] @ x[start[i] : start[i + 1]].T
+    s[q_ids[:, None] == ids[None]] = -np.inf
+    by_id = np.argsort(ids)
+    best, near = top_rows(s[:, by_id], ids[by_id], k)
+    row, col = np.nonzero(best > -np.inf)
+    at = by_id[np.searchsorted(ids[by_id], near[row, col])]
+    # products of blocks differ in the last bits from one shape to another; the cosine that is given depends on the two vectors alone
+    cos = (q[row].astype(np.float64) * x[at]).sum(1)
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[at]), pa.array(np.round(cos, 6))], names=["id", "near", "cos"])
+
+
+def shards(counts: pd.DataFrame, buckets: int, spread: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each table: its buckets; the first shard of each, in no descending order; the parts that a bucket's vectors are split into; the copies of a shard."""
+    counts = counts.sort_values("code")
+    table, code, rows = (counts["code"] // buckets).to_numpy(np.int64), (counts["code"] % buckets).to_numpy(np.int64), counts["rows"].to_numpy(np.int64)
+    out, base = {}, 0
+    for t in np.unique(table):
+        n, split = rows[table == t], -(-rows[table == t] // SHARD_ROWS)
+        # a shard begins where the vectors so far fill another one, before and after a bucket that is split
+        fresh = np.append(True, np.diff((np.cumsum(n) - n) // SHARD_ROWS) > 0) | (split > 1)
+        fresh[1:] |= split[:-1] > 1
+        width = np.where(fresh, split, 0)
+        shard = base + np.where(fresh, np.cumsum(width) - width, np.cumsum(width) - 1) * spread
+        out[int(t)] = (code[table == t], shard, split, spread)
+        base += int(width.sum()) * spread
+    return out
