@@ -116,6 +116,13 @@ def reach(away: list[np.ndarray], n: int) -> np.ndarray:
     return np.partition(at_buckets(away, np.arange(away[0].shape[1] ** len(away))), n - 1, axis=1)[:, n - 1]
 
 
+def reach_of_rows(cost: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
+    """The distance within which each row's nearest buckets hold ``least`` vectors (all of them, where there are fewer)."""
+    order = np.argsort(cost, axis=1, kind="stable")
+    short = (np.cumsum(rows[order], 1) < least).sum(1)
+    return np.take_along_axis(cost, order, 1)[np.arange(len(cost)), np.minimum(short, len(rows) - 1)]
+
+
 # --- vectors in and out of Arrow -------------------------------------------------------------------------
 
 
@@ -230,7 +237,7 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, step: int
     """For every vector whose id is divisible by ``step`` its nearest others of all vectors: ``vec_id``, ``rank`` (from 1 to at most ``k``),
     ``neighbor_id``, ``cosine`` (six places).
 
-    Cosines are exact; the search for candidates finds about ``recall`` of the true neighbours. Equal cosines are
+    Cosines are exact; the search for candidates finds about ``recall`` of the true neighbours, and goes on until there are ``k``. Equal cosines are
     ranked by the smaller id. Rows without an id or a vector, vectors of nought or with a null or endless entry, and
     those whose length isn't the table's most frequent (the smaller of two as frequent) are left out. Of rows that
     share an id one vector counts. Copies of a vector under other ids are neighbours like any other. Other
@@ -265,7 +272,7 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, step: int
             own, their = mix64(ids.astype(np.uint64)), mix64(ids.astype(np.uint64) + np.uint64(1))
             asks = np.flatnonzero(ids % step == 0)
             for t in range(tables):
-                codes, shard, split, spread = layout.value[t]
+                codes, rows, shard, split, spread = layout.value[t]
                 # as a vector that is searched: to one of its bucket's parts, in each copy of the shard
                 code = functions.value.bucket(x, t)
                 at = np.searchsorted(codes, code)
@@ -277,8 +284,9 @@ def ann_search(vectors: DataFrame, k: int = K, recall: float = RECALL, step: int
                 for i in range(0, len(asks), BLOCK):
                     q = asks[i : i + BLOCK]
                     away = functions.value.distances(x[q], t)
-                    to = reach(away, n_probes)
-                    row, col = np.nonzero(np.logical_or.reduceat(at_buckets(away, codes) <= to[:, None], heads, axis=1))
+                    cost = at_buckets(away, codes)
+                    to = np.maximum(reach(away, n_probes), reach_of_rows(cost, rows, k + 1))
+                    row, col = np.nonzero(np.logical_or.reduceat(cost <= to[:, None], heads, axis=1))
                     parts = split[heads[col]]
                     row, first = np.repeat(row, parts), np.repeat(shard[heads[col]], parts)
                     nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -343,8 +351,8 @@ def _answers(h: Tables, shard: tuple, queries: pa.RecordBatch, dim: int, k: int)
     return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[at]), pa.array(np.round(cos, 6))], names=["id", "near", "cos"])
 
 
-def shards(counts: pd.DataFrame, buckets: int, spread: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each table: its buckets; the first shard of each, in no descending order; the parts that a bucket's vectors are split into; the copies of a shard."""
+def shards(counts: pd.DataFrame, buckets: int, spread: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each table: its buckets and their vectors; the first shard of each, in no descending order; the parts that a bucket's vectors are split into; the copies of a shard."""
     counts = counts.sort_values("code")
     table, code, rows = (counts["code"] // buckets).to_numpy(np.int64), (counts["code"] % buckets).to_numpy(np.int64), counts["rows"].to_numpy(np.int64)
     out, base = {}, 0
@@ -355,6 +363,6 @@ def shards(counts: pd.DataFrame, buckets: int, spread: int) -> dict[int, tuple[n
         fresh[1:] |= split[:-1] > 1
         width = np.where(fresh, split, 0)
         shard = base + np.where(fresh, np.cumsum(width) - width, np.cumsum(width) - 1) * spread
-        out[int(t)] = (code[table == t], shard, split, spread)
+        out[int(t)] = (code[table == t], n, shard, split, spread)
         base += int(width.sum()) * spread
     return out
