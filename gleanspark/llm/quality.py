@@ -2,7 +2,8 @@
 
 Random indexing: every word has a fixed sparse random index vector (from its hash); a word's vector is the sum
 of the index vectors of its neighbours over the whole corpus. Words are hashed into buckets, so the table of
-vectors has a fixed size; each task sums its part and the parts are added. A document is the mean and the
+vectors has a fixed size; each task sums its part, and the parts are added row by row, as an aggregate whose keys
+are the buckets. A document is the mean and the
 spread of its words' vectors. Besides the words themselves, the neighbourhoods of word shapes (all capitals,
 runs of signs, a repeated word ...) are indexed in the same way, in buckets of their own.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.common import fresh, hash_strings, lowest_hashes, mix64, pick, raw_tokens, text_slices
 
-BUCKETS, DIM, SIGNS, REACH = 1 << 13, 32, 4, 2
+#: Buckets that words are hashed into (a parameter of all functions below), and the length of their vectors.
+BUCKETS, DIM = 1 << 15, 32
+SIGNS, REACH = 4, 2
+#: Pairs of neighbours that a task gathers before it adds them to its table.
+PENDING = 1 << 21
 #: Labelled documents used for training at most.
 MAX_LABELLED = 20_000
 HIDDEN = 32
@@ -41,25 +47,22 @@ SHAPES = (
     ("title", r"^\p{Lu}\p{Ll}+"),
 )
 N_SHAPES = len(SHAPES) + 2  # and: the same as the word before; none of these
-ROWS = BUCKETS + N_SHAPES
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The fixed sparse vectors, a row for each bucket and shape: the places of their entries, and the signs."""
-    r = np.arange(ROWS, dtype=np.uint64)[:, None] * np.uint64(SIGNS) + np.arange(SIGNS, dtype=np.uint64)[None, :]
+    r = np.arange(rows, dtype=np.uint64)[:, None] * np.uint64(SIGNS) + np.arange(SIGNS, dtype=np.uint64)[None, :]
     h = mix64(r + np.uint64(0x51ED270B))
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-PLACE, SIGN = _index_vectors()
-
-
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word its bucket and its shape's row, flat, and the documents' offsets."""
     t = raw_tokens(texts)
     if not len(t.codes):
         return np.empty(0, np.int64), np.empty(0, np.int64), t.offsets
-    bucket = (hash_strings(pc.utf8_lower(t.vocab)) % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = (hash_strings(pc.utf8_lower(t.vocab)) % np.uint64(buckets)).astype(np.int64)
     shape = np.full(len(t.vocab), N_SHAPES - 1)
     for i in range(len(SHAPES) - 1, -1, -1):
         shape[pc.match_substring_regex(t.vocab, SHAPES[i][1]).to_numpy(zero_copy_only=False).astype(bool)] = i
@@ -69,46 +72,52 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     firsts = t.offsets[:-1][t.offsets[:-1] < len(words)]
     same[firsts] = False
     shapes[same] = N_SHAPES - 2
-    return words, BUCKETS + shapes, t.offsets
+    return words, buckets + shapes, t.offsets
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors (ROWS x DIM) over all documents: length one, or nought for a bucket without words."""
+def word_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Context vectors (a row for each bucket and shape) over all documents: length one, or nought for a bucket without words."""
+    rows = buckets + N_SHAPES
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * DIM, np.float64)
+        place, sign = index_vectors(rows)
+        total, pending, n_pending = np.zeros(rows * DIM), [], 0
+
+        def add() -> None:
+            # each distinct pair is added once, as often as it was seen
+            pair, n = np.concatenate([p for p, _ in pending]), np.concatenate([n for _, n in pending])
+            x, y = pair // rows, pair % rows
+            for j in range(SIGNS):
+                np.add(total, np.bincount(x * DIM + place[y, j], sign[y, j] * n, rows * DIM), out=total)
+                np.add(total, np.bincount(y * DIM + place[x, j], sign[x, j] * n, rows * DIM), out=total)
+
         for batch in batches:
             for piece in text_slices(batch):
-                words, shapes, offsets = coded(piece.column("text"))
+                words, shapes, offsets = coded(piece.column("text"), buckets)
                 if not len(words):
                     continue
                 doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 for k in range(1, REACH + 1):
                     near = np.flatnonzero(doc[k:] == doc[:-k])
-                    # pairs of buckets, counted first: each distinct pair is then added once
                     for a, b in ((words[near], words[near + k]), (shapes[near], shapes[near + k])):
-                        pair, n = np.unique(a * ROWS + b, return_counts=True)
-                        x, y, w = pair // ROWS, pair % ROWS, n.astype(np.float64)
-                        for j in range(SIGNS):
-                            total += np.bincount(x * DIM + PLACE[y, j], SIGN[y, j] * w, ROWS * DIM)
-                            total += np.bincount(y * DIM + PLACE[x, j], SIGN[x, j] * w, ROWS * DIM)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.rint(total).astype(np.int32).tobytes()], pa.binary())], names=["k", "sums"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(ROWS * DIM, np.float64)
-        for x in table.column("sums"):
-            total += np.frombuffer(x.as_py(), np.dtype(key_type(key)))
-        return pa.table({"k": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    def key_type(key: tuple) -> str:
-        return "i4" if key[0].as_py() >= 0 else "f8"
-
-    # sums of up to 64 parts first, so that no task holds more than that
-    parts = pick(docs, "text").mapInArrow(part, "k int, sums binary").withColumn("k", (F.spark_partition_id() / 64).cast("int"))
-    halves = parts.groupBy("k").applyInArrow(add, "k int, sums binary").select(F.lit(-1).alias("k"), "sums")
-    rows = halves.groupBy("k").applyInArrow(add, "k int, sums binary").collect()
-    total = np.frombuffer(rows[0]["sums"], np.float64).reshape(ROWS, DIM).copy() if rows else np.zeros((ROWS, DIM))
+                        pair, n = np.unique(a * rows + b, return_counts=True)
+                        pending.append((pair, n))
+                        n_pending += len(pair)
+                if n_pending > PENDING:
+                    add()
+                    pending, n_pending = [], 0
+        if pending:
+            add()
+        total = total.reshape(rows, DIM)
+        some = np.flatnonzero(total.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(np.rint(total[some, j]).astype(np.int64)) for j in range(DIM)]], names=["row", *[f"d{j}" for j in range(DIM)]])
+
+    parts = pick(docs, "text").mapInArrow(part, "row long, " + ", ".join(f"d{j} long" for j in range(DIM)))
+    sums = parts.groupBy("row").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(DIM)]).toArrow()  # a fixed number of rows
+    total = np.zeros((rows, DIM))
+    if sums.num_rows:
+        total[sums.column("row").to_numpy()] = np.stack([sums.column(f"d{j}").to_numpy() for j in range(DIM)], 1)
     # what all words have in common (the most frequent neighbours) is taken out, so that vectors differ
     total -= total.sum(0) * (np.abs(total).sum(1) / max(1.0, np.abs(total).sum()))[:, None]
     norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -120,7 +129,8 @@ N_FEATURES = 2 * DIM + DIM + N_SHAPES
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row for each document: mean and spread of its word vectors, mean of its shape vectors, shares of shapes."""
-    words, shapes, offsets = coded(texts)
+    buckets = len(vectors) - N_SHAPES
+    words, shapes, offsets = coded(texts, buckets)
     n = np.diff(offsets)
     out = np.zeros((len(n), N_FEATURES), np.float32)
     some = np.flatnonzero(n)
@@ -129,12 +139,12 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     starts, count = offsets[:-1][some], n[some].astype(np.float32)[:, None]
     share = np.zeros((len(some), N_SHAPES), np.float32)
     doc = np.repeat(np.arange(len(some)), n[some])
-    share[:] = np.bincount(doc * N_SHAPES + shapes - BUCKETS, minlength=len(some) * N_SHAPES).reshape(-1, N_SHAPES) / count
+    share[:] = np.bincount(doc * N_SHAPES + shapes - buckets, minlength=len(some) * N_SHAPES).reshape(-1, N_SHAPES) / count
     for j in range(DIM):
-        v = vectors[:BUCKETS, j][words]
+        v = vectors[words, j]
         out[some, j] = np.add.reduceat(v, starts) / count[:, 0]
         out[some, DIM + j] = np.sqrt(np.maximum(0, np.add.reduceat(v * v, starts) / count[:, 0] - out[some, j] ** 2))
-    out[some, 2 * DIM : 3 * DIM] = share @ vectors[BUCKETS:]
+    out[some, 2 * DIM : 3 * DIM] = share @ vectors[buckets:]
     out[some, 3 * DIM :] = share
     return out
 
@@ -225,8 +235,8 @@ class Classifier:
     network: Network
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier:
-    vectors = word_vectors(docs)
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, buckets: int = BUCKETS) -> Classifier:
+    vectors = word_vectors(docs, buckets)
     ids, x, y = sample_features(docs, labels, vectors, most)
     held_out = mix64(ids.astype(np.uint64) + np.uint64(77)) % np.uint64(5) == 0
     return Classifier(vectors, train(x, y, held_out))
@@ -249,19 +259,20 @@ def score(docs: DataFrame, model: Classifier, column: str, text_col: str = "text
     return plain.mapInArrow(run, schema).toDF(*docs.columns, column)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, keep_at: float = KEEP_AT) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, keep_at: float = KEEP_AT, buckets: int = BUCKETS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id``, ``p_good`` (six places) and ``keep`` (``p_good >= keep_at``).
 
     A null or empty text has the features of a document without words and is scored as such. Rows without an
     id are scored; repeated rows are scored alike. Labels other than 0 and 1 and labels without an id are left
     out; of several labels of an id the least counts; without labels of both classes every document gets the one
-    class's rate. Other columns of either table are ignored.
+    class's rate. Other columns of either table are ignored. Texts are read whole, however long they are; an empty
+    table gives no rows.
     """
-    return score(pick(docs, "doc_id", "text"), fit(docs, labels, most), "p_good").select("doc_id", "p_good", (F.col("p_good") >= keep_at).alias("keep"))
+    return score(pick(docs, "doc_id", "text"), fit(docs, labels, most, buckets), "p_good").select("doc_id", "p_good", (F.col("p_good") >= keep_at).alias("keep"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, keep_at: float = KEEP_AT) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, keep_at: float = KEEP_AT, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs``, with their columns, that ``quality_scores`` keeps."""
     p = fresh(docs, "p_good")
-    scored = score(docs, fit(docs, labels, most), p)
+    scored = score(docs, fit(docs, labels, most, buckets), p)
     return scored.filter(F.col(p) >= keep_at).drop(p)
