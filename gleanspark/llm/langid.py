@@ -5,8 +5,8 @@ a lexicon of frequent words; the chain adds learned scores of transitions betwee
 each word's marginal probabilities. Scores are computed once for each distinct word of a slice, and the
 recursions step through all its documents at once, longest first, so that no word is handled singly.
 
-The model is trained here, on a bounded sample of documents with a known language (``MAX_DOCS``), whose lines
-are spliced into sequences that switch between languages.
+The model is trained here, on pieces from the whole texts of a bounded sample of documents with a known language
+(``MAX_DOCS``, ``MAX_PIECES``), which are spliced into sequences that switch between languages.
 """
 
 from __future__ import annotations
@@ -20,58 +20,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import Tokens, hash_strings, lowest_hashes, mix64, pick, text_slices, words
+from gleanspark.llm.common import Tokens, hash_strings, lowest_hashes, mix64, offsets_of, pick, text_slices, words
 
 FEATURE_BITS = 16
-#: Documents used for training at most, and words taken from each.
-MAX_DOCS, MAX_WORDS = 2_000, 120
-LEXICON = 400  # frequent words kept as features of their own
+#: Documents whose texts are used for training at most, words a piece of them, and pieces; all are parameters of ``training_sample``.
+MAX_DOCS, PIECE, MAX_PIECES = 2_000, 24, 10_000
+#: Frequent words of the sample that are features of their own; a parameter of ``train``.
+LEXICON = 400
 EPOCHS, RATE = 6, 0.5
-WIDTH = 24  # bytes of a word that its n-grams see; affixes see both ends in any case
+#: Bytes of words whose features are handled at a time.
+PART_BYTES = 1 << 20
+GRAMS, AFFIXES = (2, 3), (1, 2, 3, 4)
 
 
-def byte_matrix(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the words, as ``^word$`` padded with noughts to a fixed width, and their lengths."""
+def framed(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words, each as ``^word$``, one after the other; and their offsets."""
     v = vocab.cast(pa.large_binary())
     off = np.frombuffer(v.buffers()[1], np.int64)[v.offset : v.offset + len(v) + 1]
     body = np.frombuffer(v.buffers()[2], np.uint8) if v.buffers()[2] is not None else np.empty(0, np.uint8)
-    n = np.diff(off)
-    out = np.zeros((len(v), WIDTH + 2), np.uint8)
-    out[:, 0] = ord("^")
-    for i in range(WIDTH):
-        has = np.flatnonzero(n > i)
-        out[has, i + 1] = body[off[:-1][has] + i]
-    out[np.arange(len(v)), np.minimum(n, WIDTH) + 1] = ord("$")
-    return out, np.minimum(n, WIDTH) + 2
-
-
-def feature_columns(vocab: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Feature numbers of the words, one kind at a time: (words that have it, its hash)."""
-    b, n = byte_matrix(vocab)
-    wide = b.astype(np.uint64)
+    start = off[:-1] - off[0] + 2 * np.arange(len(v))
+    out = np.full(int(off[-1] - off[0]) + 2 * len(v), ord("^"), np.uint8)
+    ends = np.append(start[1:], len(out))
+    inner = np.ones(len(out), bool)
+    inner[start] = inner[ends - 1] = False
+    out[inner] = body[off[0] : off[-1]]
+    out[ends - 1] = ord("$")
+    return out, np.append(start, len(out))
+
+
+def word_features(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature number) of all features: byte n-grams of the whole word, its ends included, and prefixes and suffixes."""
+    b, off = framed(vocab)
+    wide, n = b.astype(np.uint64), np.diff(off)
+    word = np.repeat(np.arange(len(n)), n)
     mask = np.uint64((1 << FEATURE_BITS) - 1)
-
-    def number(code: np.ndarray, kind: int) -> np.ndarray:
-        return (mix64(code * np.uint64(64) + np.uint64(kind)) & mask).astype(np.int64)
-
-    for size in (2, 3):  # n-grams, the word's ends included
-        for i in range(b.shape[1] - size + 1):
-            has = np.flatnonzero(n >= i + size)
-            if len(has):
-                code = np.zeros(len(has), np.uint64)
-                for j in range(size):
-                    code = code * np.uint64(256) + wide[has, i + j]
-                yield has, number(code, size)
-    rows = np.arange(len(n))
-    for size in (1, 2, 3, 4):  # affixes: prefixes and suffixes
+    rows, numbers = [], []
+
+    def add(has: np.ndarray, at: np.ndarray, size: int, kind: int) -> None:
+        code = np.zeros(len(at), np.uint64)
+        for j in range(size):
+            code = code * np.uint64(256) + wide[at + j]
+        rows.append(has)
+        numbers.append((mix64(code * np.uint64(64) + np.uint64(kind)) & mask).astype(np.int64))
+
+    place = np.arange(len(b))
+    for size in GRAMS:
+        at = np.flatnonzero(place + size <= off[1:][word])
+        add(word[at], at, size, size)
+    for size in AFFIXES:
         has = np.flatnonzero(n >= size + 2)
-        if len(has):
-            head, tail = np.zeros(len(has), np.uint64), np.zeros(len(has), np.uint64)
-            for j in range(size):
-                head = head * np.uint64(256) + wide[has, 1 + j]
-                tail = tail * np.uint64(256) + wide[rows[has], n[has] - 1 - size + j]
-            yield has, number(head, 8 + size)
-            yield has, number(tail, 16 + size)
+        add(has, off[has] + 1, size, 8 + size)
+        add(has, off[has + 1] - 1 - size, size, 16 + size)
+    return (np.concatenate(rows), np.concatenate(numbers)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def in_parts(vocab: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The words in parts of bounded size (a longer word is a part of its own), with the number of each part's first."""
+    size = offsets_of(pc.binary_length(vocab).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(vocab):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + PART_BYTES, side="right")) - 1)
+        yield at, vocab.slice(at, end - at)
+        at = end
 
 
 @dataclass
@@ -88,10 +98,11 @@ class Field:
         out = np.zeros((len(vocab), len(self.labels)))
         if not len(vocab):
             return out
-        _, n = byte_matrix(vocab)
-        for has, number in feature_columns(vocab):
-            out[has] += self.weights[number]
-        out /= np.sqrt(n)[:, None]  # long words have many features
+        for at, part in in_parts(vocab):
+            rows, numbers = word_features(part)
+            for j in range(len(self.labels)):
+                out[at : at + len(part), j] = np.bincount(rows, self.weights[numbers, j], len(part))
+        out /= np.sqrt(lengths(vocab))[:, None]  # long words have many features
         at, known = self.in_lexicon(hashes)
         out[known] += self.lexicon_weights[at[known]]
         return out
@@ -101,6 +112,10 @@ class Field:
         return at, (self.lexicon[at] == hashes) if len(self.lexicon) else np.zeros(len(hashes), bool)
 
 
+def lengths(vocab: pa.Array) -> np.ndarray:
+    return pc.binary_length(vocab).to_numpy(zero_copy_only=False) + 2.0
+
+
 def time_major(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of words that puts all documents' first words first, and so on; and the number of documents at each step."""
     n = np.diff(offsets)
@@ -159,8 +174,8 @@ def spliced(pieces: list[tuple[int, np.ndarray]], rng: np.random.Generator) -> t
     return np.concatenate(codes), np.concatenate(labels), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 3) -> Field:
-    """Stochastic gradient ascent (Adagrad) on the conditional likelihood of spliced sequences."""
+def train(texts: list[str], langs: list[str], lexicon: int = LEXICON, seed: int = 3) -> Field:
+    """Stochastic gradient ascent (Adagrad) on the conditional likelihood of spliced sequences. The ``lexicon`` has the most frequent words, of equals those of the smallest hashes."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     y_of = {x: i for i, x in enumerate(labels)}
@@ -170,7 +185,7 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> Field:
     vocab, codes = t.vocab.take(pa.array(first)), inverse[t.codes]
     pieces = []
     for i, lang in enumerate(langs):
-        own = codes[t.offsets[i] : min(t.offsets[i + 1], t.offsets[i] + MAX_WORDS)]
+        own = codes[t.offsets[i] : t.offsets[i + 1]]
         at = 0
         while at < len(own):
             step = int(rng.integers(3, 30))
@@ -178,13 +193,12 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> Field:
             at += step
     k = len(labels)
     freq = np.bincount(np.concatenate([p for _, p in pieces]), minlength=len(unique)) if pieces else np.zeros(len(unique))
-    common = np.sort(np.argsort(-freq, kind="stable")[: min(LEXICON, len(unique))])
+    common = np.sort(np.argsort(-freq, kind="stable")[:lexicon])
     model = Field(labels, np.zeros((1 << FEATURE_BITS, k)), unique[common], np.zeros((len(common), k)), np.zeros(k), np.zeros((k, k)))
     if k < 2 or not pieces:
         return model
-    columns = list(feature_columns(vocab))
-    rows, numbers = np.concatenate([c for c, _ in columns]), np.concatenate([f for _, f in columns])
-    inv = 1 / np.sqrt(byte_matrix(vocab)[1])
+    rows, numbers = word_features(vocab)
+    inv = 1 / np.sqrt(lengths(vocab))
     lex_at, in_lex = model.in_lexicon(unique)
     params = [model.weights, model.lexicon_weights, model.start, model.transitions]
     seen = [np.full_like(p, 1e-2) for p in params]
@@ -227,14 +241,19 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> Field:
     return model
 
 
-def training_sample(docs: DataFrame, most: int = MAX_DOCS) -> tuple[list[str], list[str]]:
-    """Beginnings of at most ``most`` documents with a language, those of the smallest hashes of their texts; a model's sample, not a corpus statistic."""
-    labelled = pick(docs, "lang").filter("lang is not null").count()
-    d = pick(docs, "text", "lang").filter("text is not null and lang is not null")
-    d = lowest_hashes(d.withColumn("o", F.xxhash64("text", "lang")), "o", labelled, most)
-    d = d.select(F.substring("text", 1, 12 * MAX_WORDS).alias("text"), "lang", "o")
-    rows = d.orderBy("o", "lang", "text").limit(most).collect()
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+def training_sample(docs: DataFrame, most: int = MAX_DOCS, pieces: int = MAX_PIECES) -> tuple[list[str], list[str]]:
+    """Pieces of ``PIECE`` words and their languages: at most ``pieces``, from anywhere in the whole texts of at most ``most`` documents with a
+    language. Documents and pieces are those of the smallest hashes (of the id; of the id and the place); a model's sample, not a corpus statistic."""
+    has = [c for c in ("doc_id",) if c in docs.columns]
+    d = pick(docs, *has, "text", "lang").filter("lang is not null").withColumn("o", F.xxhash64(*(has or ["text", "lang"])))
+    chosen = lowest_hashes(d.select("o"), "o", pick(docs, "lang").filter("lang is not null").count(), most).orderBy("o").limit(most).agg(F.max("o")).first()[0]
+    if chosen is None:
+        return [], []
+    few = d.filter((F.col("o") <= chosen) & F.col("text").isNotNull())  # the documents themselves stay where they are
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    cut = few.withColumn("w", words).select("lang", "o", F.posexplode(F.expr(f"transform(sequence(0, size(w) - 1, {PIECE}), i -> array_join(slice(w, i + 1, {PIECE}), ' '))")).alias("i", "piece"))
+    rows = cut.filter("piece <> ''").withColumn("p", F.xxhash64("o", "i", "piece")).orderBy("p", "lang", "piece").limit(pieces).collect()
+    return [r["piece"] for r in rows], [r["lang"] for r in rows]
 
 
 # --- the operator ----------------------------------------------------------------------------------------
@@ -318,5 +337,5 @@ def identify(docs: DataFrame, model: Field) -> DataFrame:
 
 def language_id(docs: DataFrame, training: DataFrame | None = None, most: int = MAX_DOCS) -> DataFrame:
     """``identify`` with a model trained on ``training`` (``docs`` itself by default: its ``text`` and ``lang``). Without
-    any labelled text no language is known: every ``lang`` is null and no word is counted."""
+    any labelled text no language is known: every ``lang`` is null and no word is counted. An empty table gives no rows."""
     return identify(docs, train(*training_sample(docs if training is None else training, most)))
