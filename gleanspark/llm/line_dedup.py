@@ -1,7 +1,9 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop lines over a threshold, reassemble.
 
-Only 16 bytes a line are shuffled for the counts. The lines to drop come back as a short array per document,
-and each text is rebuilt from its own lines in order of position, so a text moves at most once.
+For the counts three numbers of eight bytes a line are shuffled (its hash, the document's id, and a number that stands
+for a missing id), combined beforehand. Lines over the threshold are broadcast if they are counted few; else the
+join with them is by hash, where adaptive execution splits the hot lines. The lines to drop come back as a short array
+per document, and each text is rebuilt from its own lines in order of position, so a text moves at most once.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import by_position, checkpointed
+from gleanspark.llm.common import by_position, maybe_broadcast, written
 
 #: A line may stand in so many documents.
 MAX_DOCS = 20
@@ -33,7 +35,8 @@ def line_dedup(
     the document of the smallest id keeps a repeated line. With ``drop_emptied`` a document all of whose
     lines were dropped goes too. A null text stays null; an empty one stays empty. Repeated rows of one id
     count as one document and are treated alike; rows without an id count as one document per distinct text
-    (and come first where ids are compared). ``dropped_col`` names a column to add: lines dropped. ``chars_col`` names a column that is to follow the text's length. Other columns are carried along, whatever their names.
+    (and come first where ids are compared). ``dropped_col`` names a column to add: lines dropped. ``chars_col`` names a column that is to follow the text's length. Other columns are carried along, whatever their names. Texts
+    are read whole, however long; an empty table gives no rows.
     """
     plain, at = by_position(docs)
     key, lines, gone = "key", "lines", "gone"
@@ -46,11 +49,11 @@ def line_dedup(
         F.when(doc.isNull(), F.col(key)).alias("anon"),
         F.explode(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: normal_line(x) != ""), line_hash))).alias("h"),
     )
-    each = checkpointed(each)  # read twice below; without this the texts would be split and hashed twice
+    each = written(each)  # read twice below; without this the texts would be split and hashed twice
     many = each.select("h", "id", "anon").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "anon")).alias("first"))
-    hit = each.join(many.filter(F.col("n") > max_docs), "h")
+    hit = each.join(maybe_broadcast(written(many.filter(F.col("n") > max_docs).select("h", "first.*").toDF("h", "first_id", "first_anon"))), "h")
     if keep_first:
-        hit = hit.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("anon").eqNullSafe(F.col("first.anon"))))
+        hit = hit.filter(~(F.col("id").eqNullSafe(F.col("first_id")) & F.col("anon").eqNullSafe(F.col("first_anon"))))
     drops = hit.groupBy(F.col("k").alias(key)).agg(F.collect_set("h").alias(gone))
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(gone), line_hash(x)), F.lit(False)))
     touched = F.col(gone).isNotNull()
