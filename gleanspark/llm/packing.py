@@ -82,12 +82,15 @@ class Plan:
                 self._emit(self._fill(longest))
 
     def _index(self) -> None:
-        """Which sums two of the lengths can make. Counts only fall, so a sum that has failed once is struck out for good."""
+        """Which sums two and three of the lengths can make. Counts only fall, so a sum that has failed once is struck out for good."""
         have = np.flatnonzero(self.left)
         self.pair_sums = np.zeros(self.capacity + 1, bool)
         for a in have:
             others = have[have <= self.capacity - a]
             self.pair_sums[a + others] = True
+        self.triple_sums = np.zeros(self.capacity + 1, bool)
+        for a in have:
+            self.triple_sums[a:] |= self.pair_sums[: self.capacity + 1 - a]
 
     def _free(self, used: Counter) -> np.ndarray:
         free = self.left.copy()
@@ -116,6 +119,8 @@ class Plan:
                 return pair
             if self._pair(gap, self.left) is None:
                 self.pair_sums[gap] = False
+        if not self.triple_sums[gap]:
+            return None
         largest = np.arange(gap - 2, (gap - 1) // 3, -1)  # of the three
         for a in largest[(free[largest] > 0) & self.pair_sums[gap - largest]]:
             free[a] -= 1
