@@ -16,7 +16,8 @@ from gleanspark.llm.common import pick
 PART = "struct<type:string,text:string,url:string,width:long,height:long,seconds:double,pages:long>"
 TYPES = ("text", "image", "audio", "document")
 BEGIN, END = "<|begin|>", "<|end|>"
-#: Signs that keep texts from forging a marker: "<|" becomes "< |".
+#: Signs that keep texts from forging a marker: "<|" becomes "< |", and a text that ends with "<" has a blank put
+#: behind it, so that no marker forms with what follows.
 MARK, BROKEN = "<|", "< |"
 TILE, TILE_TOKENS, IMAGE_TOKENS = 512, 170, 85
 AUDIO_TOKENS_A_SECOND = 25
@@ -49,6 +50,7 @@ class PartVisitor:
 
     def text(self, part: Column) -> Column:
         text = F.replace(F.coalesce(part["text"], F.lit("")), F.lit(MARK), F.lit(BROKEN))
+        text = F.when(text.endswith("<"), F.concat(text, F.lit(" "))).otherwise(text)
         return self._struct("text", text, words(text), F.lit(None))
 
     def _attached(self, kind: str, part: Column, tokens: Column) -> Column:
@@ -128,14 +130,39 @@ def chat_rows(conversations: DataFrame) -> DataFrame:
     return chat_format(conversations).withColumn("attachments", F.to_json("attachments"))
 
 
-def sql() -> str:
+def mixed_parts(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with typed parts as content, of the kind that turns take by turns, so that every type is met; one turn in five stays plain."""
+    text, turn = F.to_json(F.struct(F.lit("text").alias("type"), "text")), F.coalesce("turn", F.lit(0))
+    listed = lambda *parts: F.concat(F.lit("["), F.array_join(F.array(*parts), ","), F.lit("]"))
+    n = F.pmod(F.col("conv_id") + turn, F.lit(5))
+    image = F.concat(F.lit('{"type":"image","url":"i'), "conv_id", F.lit('.png","width":'), turn * 300, F.lit(',"height":'), turn * 200 + 100, F.lit("}"))
+    audio = F.concat(F.lit('{"type":"audio","url":"a'), "conv_id", F.lit('.wav","seconds":'), turn * 2, F.lit(".5}"))
+    pages = F.concat(F.lit('{"type":"document","url":"d'), "conv_id", F.lit('.pdf","pages":'), turn, F.lit("}"))
+    forged = F.lit('{"type":"text","text":"a <"}'), F.lit('{"type":"text","text":"|image|> b"}')
+    content = F.when(n == 0, listed(text, image)).when(n == 1, listed(audio, text, audio)).when(n == 2, listed(*forged, pages, text)).when(n == 3, listed(text, pages, audio, image))
+    return pick(conversations, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce(content, "text"))
+
+
+def mixed_sql() -> str:
+    """The rows of ``chat_rows`` of ``mixed_parts``."""
+    turn, text = "coalesce(turn, 0)", """'{"type":"text","text":' || to_json(text) || '}'"""
+    image = f"""'{{"type":"image","url":"i' || conv_id || '.png","width":' || {turn} * 300 || ',"height":' || ({turn} * 200 + 100) || '}}'"""
+    audio = f"""'{{"type":"audio","url":"a' || conv_id || '.wav","seconds":' || {turn} * 2 || '.5}}'"""
+    pages = f"""'{{"type":"document","url":"d' || conv_id || '.pdf","pages":' || {turn} || '}}'"""
+    forged = """'{"type":"text","text":"a <"},{"type":"text","text":"|image|> b"}'"""
+    listed = lambda *parts: "'[' || " + " || ',' || ".join(parts) + " || ']'"
+    content = f"case (conv_id + {turn}) % 5 when 0 then {listed(text, image)} when 1 then {listed(audio, text, audio)} when 2 then {listed(forged, pages, text)} when 3 then {listed(text, pages, audio, image)} else text end"
+    return sql(f"(select conv_id, turn, role, {content} as text from conversations)")
+
+
+def sql(source: str = "conversations") -> str:
     """The rows of ``chat_rows``, from DuckDB's JSON functions."""
     number = "coalesce(try_cast(p->>'{}' as {}), 0)"
     w, h, sec, pages = (number.format(*x) for x in (("width", "bigint"), ("height", "bigint"), ("seconds", "double"), ("pages", "bigint")))
     clean = r"trim(regexp_replace(body, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')"
     return rf"""
     with c as (
-        select distinct conv_id, coalesce(turn, -{1 << 62}) turn, coalesce(role, 'user') role, coalesce(text, '') txt from conversations where conv_id is not null),
+        select distinct conv_id, coalesce(turn, -{1 << 62}) turn, coalesce(role, 'user') role, coalesce(text, '') txt from {source} where conv_id is not null),
     m as (select *, row_number() over (partition by conv_id order by turn, role, txt) - 1 msg from c),
     looks as (select *, case when regexp_matches(txt, '^\s*\[\s*\{{') and json_valid(txt) then cast(txt as json) end j from m),
     typed as (select *, j is not null and len(list_filter(json_extract(j, '$[*]'), lambda x: json_extract_string(x, '$.type') is null)) = 0 ok from looks),
@@ -143,7 +170,7 @@ def sql() -> str:
         select conv_id, msg, role, 0 pos, cast(null as json) p, 'text' kind, txt raw from typed where not ok
         union all
         select conv_id, msg, role, unnest(range(cast(json_array_length(j) as bigint))) pos, unnest(json_extract(j, '$[*]')) p, p->>'type' kind, coalesce(p->>'text', '') raw from typed where ok),
-    seen as (select *, case when kind = 'text' then replace(raw, '{MARK}', '{BROKEN}') when kind in ('image', 'audio', 'document') then '<|' || kind || '|>' else '' end body from parts),
+    seen as (select *, case when kind = 'text' then replace(raw, '{MARK}', '{BROKEN}') || case when ends_with(raw, '<') then ' ' else '' end when kind in ('image', 'audio', 'document') then '<|' || kind || '|>' else '' end body from parts),
     counted as (
         select *, case kind when 'text' then case when {clean} = '' then 0 else len(string_split({clean}, ' ')) end
             when 'image' then {IMAGE_TOKENS} + {TILE_TOKENS} * cast(greatest(1, ceil({w} / {TILE})) * greatest(1, ceil({h} / {TILE})) as bigint)
