@@ -47,6 +47,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_rows(table(spark, sf_dir, "conversations"))
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op8`` over the same table with attachments in its messages."""
+    return chat.chat_rows(chat.mixed_parts(table(spark, sf_dir, "conversations")))
+
+
+def passages_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without what ``op7`` finds."""
+    return substring.drop_passages(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -66,6 +76,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_ann": op10_ann,
+    "chat_parts": chat_parts,
+    "passages_dropped": passages_dropped,
 }
 ORACLES = {
     "op2_ngram_join": ngram_join.sql(),
@@ -73,4 +85,5 @@ ORACLES = {
     "op4_secret_scan": secrets.sql(),
     "op7_substring_dedup": substring.sql(),
     "op8_chat_format": chat.sql(),
+    "chat_parts": chat.mixed_sql(),
 }
