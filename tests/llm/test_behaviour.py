@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanspark.llm import chat, decontam, langid, line_dedup, ngram_join, packing, quality, secrets, substring
-from gleanspark.llm.ann import Tables, ann_search, hadamard
+from gleanspark.llm import ann, chat, decontam, langid, line_dedup, ngram_join, packing, quality, secrets, substring
+from gleanspark.llm.ann import Tables, ann_search, at_buckets, hadamard, reach
 from gleanspark.llm.queries import ORACLES, QUERIES
 
 WORDS = [f"{a}{b}{c}" for a in "bdfklmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
@@ -45,6 +45,22 @@ def test_against_sql(spark, sf_dir, name):
     assert Counter(tuple(repr(r[c]) for c in names) for r in df.collect()) == want
 
 
+def brute_classes(sets, t):
+    """{document: (smallest of its class, links)} by comparing all."""
+    n = len(sets)
+    near = [[i != j and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9 for j in range(n)] for i in range(n)]
+    least = list(range(n))
+    while True:
+        new = [min([least[i], *(least[j] for j in range(n) if near[i][j])]) for i in range(n)]
+        if new == least:
+            return {i: (least[i], sum(near[i])) for i in range(n)}
+        least = new
+
+
+def classes_of(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
 def test_decontamination_finds_other_values(spark):
     rng = random.Random(1)
     item = "A shop of {} sells {} boxes of apples for {} dollars each so what does it earn when all of them are sold by noon"
@@ -75,7 +91,7 @@ def test_decontamination_finds_verbatim_items_of_few_literals(spark):
     items = ["What is 12 plus 34", "Compute 12 + 34 * 5 - 7 / 2", "Berechne wie Anna Berta Carla und Doris Emil Franz 3 Kilo 4 Gramm 5 Liter teilen"]
     docs = [f"{sentence(rng, 20)}. {t}? {sentence(rng, 20)}" for t in items] + [f"{sentence(rng, 20)}. What is 13 plus 34? {sentence(rng, 20)}", items[2].upper()]
     r = decontam.decontaminate(frame(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
-    assert {(0, 0, True), (1, 1, True), (2, 2, True), (4, 2, True)} == {(x["doc_id"], x["item_id"], x["same_values"]) for x in r}
+    assert {(0, 0, True), (1, 1, True), (2, 2, True), (3, 0, False), (4, 2, True)} == {(x["doc_id"], x["item_id"], x["same_values"]) for x in r}
 
 
 def test_decontamination_takes_names_that_begin_sentences(spark):
@@ -98,6 +114,90 @@ def test_decontamination_judges_each_alignment(spark):
     assert {(r["doc_id"], r["item_id"], r["same_values"]) for r in decontam.decontaminate(frame(spark, docs), items).collect()} == {(0, 0, False), (1, 1, False)}
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 4 to 12 tokens, as they stand and with other values; those of fewer are listed."""
+    rng = random.Random(13)
+    forms = ["add {} to {}", "what is {} plus {}", "compute first {} then {} and {}", "how many eggs are {} dozen eggs", "a pen costs {} coins what do {} pens cost"]
+    forms += ["take {} from {} and then take {} from what is left over", "share {} sweets among {} friends so that each gets as many as possible"]
+    items = [f.format(7, 12, 3) for f in forms] + ["add 3", "", None]
+    docs = [f"{sentence(rng, 20)}. {f.format(*v)}. {sentence(rng, 20)}" for v in ((7, 12, 3), (21, 40, 9)) for f in forms] + [sentence(rng, 60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    r = decontam.decontaminate(frame(spark, docs), bench).collect()
+    want = {(i, i % len(forms), i < len(forms)) for i in range(2 * len(forms))}
+    assert {(x["doc_id"], x["item_id"], x["same_values"]) for x in r} == want
+    assert sorted(x["item_id"] for x in decontam.unsearchable(bench).collect()) == [7, 8, 9]
+
+
+def test_decontamination_widens_windows_of_few_literals(spark):
+    """No 8 tokens hold five literals; 16 do."""
+    rng = random.Random(14)
+    item = "sum {} and {} and {} now {} or {} times {} plus {} less {} is {} over {} times {} so"
+    bench = spark.createDataFrame([(1, item.format(*range(10, 21)))], "item_id long, text string")
+    docs = [sentence(rng, 9) + ". " + item.format(*range(40, 51)) + ". " + sentence(rng, 9), sentence(rng, 40)]
+    assert [(x["doc_id"], x["same_values"]) for x in decontam.decontaminate(frame(spark, docs), bench).collect()] == [(0, False)]
+
+
+def test_decontamination_tells_texts_of_one_item_apart(spark):
+    rng = random.Random(15)
+    one, two = sentence(rng, 30), sentence(rng, 60)
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two)], "item_id long, text string")
+    r = decontam.decontaminate(frame(spark, [one, two, one, sentence(rng, 60)]), bench).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["matched"], x["coverage"]) for x in r) == [(0, 1, 23, 1.0), (1, 1, 53, 1.0), (2, 1, 23, 1.0)]
+
+
+def plain_template(text):
+    """Tokens of a text in lower case: (template, word, slot), by single steps; the texts of this test have no signs within sentences."""
+    out, ended = [], True
+    for line in re.split(r"(\n)", text):
+        if line == "\n":
+            ended = True
+            continue
+        for raw in line.split():
+            core = re.sub(r"^[\W_]+|[\W_]+$", "", raw)
+            number = re.fullmatch(decontam.NUMBER, core.lower())
+            unit = core.lower() in decontam.UNITS and out and out[-1][0] == "N"
+            name = not number and not unit and re.fullmatch(r"[A-Z][a-z]+", core) and not ended
+            if name and out and out[-1][0] == "P":
+                out[-1] = ("P", out[-1][1] + (core.lower(),), True)
+            else:
+                out.append(("N" if number else "U" if unit else "P" if name else core.lower(), (core.lower(),), bool(number or unit or name)))
+            ended = bool(re.search(r"[.!?:]$", raw))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Windows of kind TYPED in plain loops, where each document holds a part or the whole of an item, in one place."""
+    rng = random.Random(16)
+    names = ["Anna", "Bert", "Carla", "Dora"]
+    items, docs = [], []
+    for _ in range(8):
+        w = sentence(rng, 24).split()
+        for at in rng.sample(range(1, 23), 5):
+            w[at] = "{}"
+        kinds = [rng.choice(("n", "p")) for _ in range(5)]
+        fill = lambda: [str(rng.randint(2, 99)) if k == "n" else rng.choice(names) for k in kinds]  # noqa: E731, B023
+        items.append(" ".join(w).format(*fill()))
+        docs += [sentence(rng, 7) + ". " + " ".join(" ".join(w).format(*fill()).split()[: rng.choice((12, 17, 20, 24))]) + ". " + sentence(rng, 7) for _ in range(6)]
+    windows = lambda t: {i: t[i : i + 8] for i in range(len(t) - 7) if sum(not s for _, _, s in t[i : i + 8]) >= 5}
+    want = set()
+    for d, doc in enumerate(docs):
+        theirs = windows(plain_template(doc))
+        for i, item in enumerate(items):
+            own = windows(plain_template(item))
+            hits = [(a, b) for a, x in own.items() for b, y in theirs.items() if [t for t, *_ in x] == [t for t, *_ in y]]
+            value = defaultdict(set)
+            for a, b in hits:
+                for x, y in zip(own[a], theirs[b], strict=True):
+                    if x[2]:
+                        value[x[1]].add(y[1])
+            if own and len({a for a, _ in hits}) >= 0.6 * len(own) and all(len(v) == 1 for v in value.values()):
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(frame(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert want and want <= got
+    # what else is found has every word of an item but its slots, in a kind with fewer slots or as it stands
+    assert all(i == d // 6 for d, i in got)
+
+
 def test_ngram_join_against_brute_force(spark):
     rng = random.Random(2)
     texts = []
@@ -115,18 +215,7 @@ def test_ngram_join_against_brute_force(spark):
     for t in texts:
         w = words_of(t)
         sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)})
-    first = {}
-    for i, s in enumerate(sets):
-        first.setdefault(frozenset(s), i)
-    want = {(first[frozenset(s)], i): 1.0 for i, s in enumerate(sets) if first[frozenset(s)] != i}
-    reps = sorted(first.values())
-    for x, a in enumerate(reps):
-        for b in reps[x + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= ngram_join.THRESHOLD - 1e-9:
-                want[a, b] = round(j, 6)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()}
-    assert got == want
+    assert classes_of(ngram_join.ngram_jaccard_join(frame(spark, texts))) == brute_classes(sets, ngram_join.THRESHOLD)
 
 
 def test_ngram_join_finds_much_edited_copies(spark):
@@ -136,8 +225,69 @@ def test_ngram_join_finds_much_edited_copies(spark):
     for _ in range(40):
         base = rng.sample(WORDS, 66)
         texts += [" ".join(base[:60]), " ".join(base[60 + i // 10] if i % 10 == 5 else w for i, w in enumerate(base[:60]))]
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()}
-    assert got == {(i, i + 1): round(40 / 76, 6) for i in range(0, 80, 2)}
+    assert classes_of(ngram_join.ngram_jaccard_join(frame(spark, texts))) == {i: (i - i % 2, 1) for i in range(80)}
+
+
+@pytest.mark.parametrize("case", ["large families", "large buckets", "trees"])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, case):
+    """Families of several leaves, buckets too large for a tree and buckets searched by one: links and classes are the same."""
+    rng = random.Random(21)
+    if case == "large families":
+        monkeypatch.setattr(ngram_join, "LEAF_DOCS", 7)
+    monkeypatch.setattr(ngram_join, "BUCKET_DOCS", 5 if case == "large buckets" else 2000)
+    monkeypatch.setattr(ngram_join, "PLAIN_DOCS", 2 if case == "trees" else 24)
+    texts = []
+    for length in (30, 90, 200):
+        base = sentence(rng, length).split()
+        for i in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w[: length - i] if i % 3 else w))
+    texts += texts[:9]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(words_of, texts)]
+    assert classes_of(ngram_join.ngram_jaccard_join(frame(spark, texts))) == brute_classes(sets, ngram_join.THRESHOLD)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.6, 0.8])
+def test_routing_recall(threshold):
+    """Of pairs at a threshold, so many share a band as the formula says: all but (1 - t^3)^64."""
+    rng = np.random.default_rng(int(threshold * 10))
+    n, missed, pairs = 120, 0, 3000
+    shared = int(np.ceil(2 * n * threshold / (1 + threshold)))
+    for _ in range(pairs // 100):
+        sets = []
+        for _ in range(100):
+            common = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+            sets += [np.concatenate([common, rng.integers(0, 1 << 63, n - shared, dtype=np.uint64)]) for _ in range(2)]
+        b = ngram_join.bands(np.concatenate(sets), np.arange(200) * n)
+        missed += int((b[::2] != b[1::2]).all(1).sum())
+    expected = pairs * (1 - threshold**3) ** ngram_join.BANDS
+    assert missed <= expected + 4 * np.sqrt(expected) + 1
+
+
+def test_bound_and_forest_lose_none():
+    """Any two sets within the threshold are connected by a bucket's forest, whatever the lengths of their points."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (20, 70, 130, 500, 900, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for keep in (1.0, 0.9, 0.75, 0.62):
+            sets.append(np.sort(np.concatenate([base[: int(len(base) * keep)], rng.integers(0, 1 << 63, int(size * 0.1), dtype=np.uint64)])))
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    n_grams, raw = np.diff(offsets), ngram_join.points(np.concatenate(sets), offsets)
+    for plain in (100, 1):
+        ngram_join.PLAIN_DOCS, before = plain, ngram_join.PLAIN_DOCS
+        u, v = ngram_join.bucket_forest(np.array([0]), np.array([len(sets)]), n_grams, raw, 0.5)
+        ngram_join.PLAIN_DOCS = before
+        label = ngram_join._labels(len(sets), u, v)
+        assert len(u) < len(sets)
+        for i in range(len(sets)):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if shared >= 0.5 * (len(sets[i]) + len(sets[j]) - shared):
+                    assert label[i] == label[j]
+        assert len(set(label)) > 3
 
 
 def test_tree_loses_none():
@@ -228,6 +378,88 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(got, want / want.sum(1, keepdims=True))
 
 
+def plain_features(word):
+    """Feature numbers of a word, one at a time."""
+    b = b"^" + word.encode() + b"$"
+    number = lambda bits, kind: int(langid.mix64(np.array([int.from_bytes(bits, "big") * 64 + kind], np.uint64))[0]) & ((1 << langid.FEATURE_BITS) - 1)
+    out = [number(b[i : i + n], n) for n in (2, 3) for i in range(len(b) - n + 1)]
+    return out + [number(x, k + n) for n in (1, 2, 3, 4) if len(b) >= n + 2 for x, k in ((b[1 : 1 + n], 8), (b[-1 - n : -1], 16))]
+
+
+def test_language_features_against_single_steps():
+    """Emissions of words of all lengths: long compounds and sentences without blanks are read to their ends."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    stem = "donaudampfschifffahrtsgesellschaft"
+    vocab = ["a", "ab", "the", "für", stem + "heit", stem + "tion", "これは空白のない長い文で、終わりまで読まれる" * 5, "これは空白のない長い文で、終わりまで読まれない" * 5]
+    model = langid.Field(["x", "y"], rng.normal(size=(1 << langid.FEATURE_BITS, 2)), np.empty(0, np.uint64), np.zeros((0, 2)), np.zeros(2), np.zeros((2, 2)))
+    got = model.scores(pa.array(vocab), np.zeros(len(vocab), np.uint64))
+    want = [model.weights[plain_features(w)].sum(0) / np.sqrt(len(w.encode()) + 2) for w in vocab]
+    assert np.allclose(got, want)
+    assert not np.allclose(got[4], got[5])
+    langid.PART_BYTES, before = 10, langid.PART_BYTES
+    assert np.allclose(model.scores(pa.array(vocab), np.zeros(len(vocab), np.uint64)), want)
+    langid.PART_BYTES = before
+
+
+def test_language_training_reads_whole_texts(spark):
+    """What tells the languages apart stands behind 60,000 words that are alike."""
+    head = " ".join(["same"] * 60_000)
+    rows = [(i, head + " " + " ".join([("wort" if i % 2 else "mot") + "abcdefgh"[j % 8] for j in range(9000)]), "de" if i % 2 else "fr") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.training_sample(docs)
+    assert len(texts) == 10_000 and any("wort" in t for t in texts)
+    got = {r["doc_id"]: r["lang"] for r in langid.identify(spark.createDataFrame([(0, "mota motb motc"), (1, "worta wortb wortc"), (2, "")], "doc_id long, text string"), langid.train(texts, langs)).collect()}
+    assert got == {0: "fr", 1: "de", 2: None}
+
+
+def test_language_ties_go_to_the_first_label():
+    import pyarrow as pa
+
+    model = langid.Field(["a", "b"], np.zeros((1 << langid.FEATURE_BITS, 2)), np.empty(0, np.uint64), np.zeros((0, 2)), np.zeros(2), np.zeros((2, 2)))
+    marginal, best, _ = langid.label_slice(model, pa.array(["one two three"]))
+    assert np.allclose(marginal, 0.5) and (best == 0).all()
+
+
+def test_quality_tie_of_labels(spark):
+    """Of several labels of an id the least counts."""
+    rng = random.Random(19)
+    rows = [(i, (sentence(rng, 40) if i % 2 else "$$ !! ## " * 20)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(i, 1) for i in range(0, 120, 2)], "doc_id long, quality int")
+    r = {x["doc_id"]: x["keep"] for x in quality.quality_scores(docs, labels, buckets=1 << 10).collect()}
+    assert r == {i: i % 2 == 1 for i in range(120)}
+
+
+def test_word_vectors_against_single_steps(spark):
+    texts = ["one two three two", "three ONE one", "", None]
+    got = quality.word_vectors(frame(spark, texts), 64)
+    rows = 64 + quality.N_SHAPES
+    place, sign = quality.index_vectors(rows)
+    total = np.zeros((rows, quality.DIM))
+    import pyarrow as pa
+
+    for t in texts:
+        words, shapes, _ = quality.coded(pa.array([t], pa.string()), 64)
+        for seq in (words, shapes):
+            for i, x in enumerate(seq):
+                for y in [*seq[max(0, i - 2) : i], *seq[i + 1 : i + 3]]:
+                    for p, s in zip(place[y], sign[y], strict=True):
+                        total[x, p] += s
+    total -= total.sum(0) * (np.abs(total).sum(1) / np.abs(total).sum())[:, None]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    assert np.allclose(got, np.divide(total, norm, out=np.zeros_like(total), where=norm > 0), atol=1e-5)
+
+
+def test_passages_are_cut_out(spark):
+    rng = random.Random(18)
+    shared, other = sentence(rng, 60), sentence(rng, 9)
+    texts = [f"{other} -- {shared}! end", f"Begin  here: {shared.upper()}.\n -- then {other}", f"{shared}", "short", None]
+    got = {r["doc_id"]: r["text"] for r in substring.drop_passages(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: f"Begin  here: then {other}", 2: "", 3: "short", 4: None}
+
+
 def test_substring_against_brute_force(spark):
     rng = random.Random(8)
     shared = [sentence(rng, 70) for _ in range(4)]
@@ -269,6 +501,14 @@ def test_chat_parts(spark):
     assert {r["conv_id"]: (r["conv_id"], r["n_messages"], r["formatted"], r["n_text_tokens"], r["n_tokens"], r["attachments"]) for r in chat.chat_rows(df).collect()} == want
 
 
+def test_chat_markers_cannot_be_forged_across_parts(spark):
+    j = json.dumps
+    parts = lambda *t: j([{"type": "text", "text": x} for x in t])
+    rows = [(1, 0, "user", parts("a <", "|image|> b")), (2, 0, "user", parts("a <", "", "|image|> b")), (3, 0, "us<", "x <"), (4, 0, "user", parts("<", "<|image|>"))]
+    got = chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(len(re.findall(r"<\|", r["formatted"])) == 2 and r["attachments"] == [] for r in got)
+
+
 def one_at_a_time(lengths, capacity):
     """The packing rule with one pack at a time and plain loops."""
     left = Counter(lengths)
@@ -336,7 +576,10 @@ def test_ann_recall(spark):
     s = x @ x.T
     np.fill_diagonal(s, -9)
     truth = {int(i): set(p.vec_id.to_numpy()[np.argsort(-row)[:10]]) for i, row in zip(p.vec_id, s, strict=True)}
-    got = ann_search(d).toPandas()
+    asked = ann_search(d).toPandas()
+    assert set(asked.vec_id) == {i for i in truth if i % 20 == 0}
+    got = ann_search(d, step=1).toPandas()
+    assert set(got.vec_id) == set(truth)
     near = got.groupby("vec_id").neighbor_id.apply(set)
     assert np.mean([len(near[i] & t) / 10 for i, t in truth.items()]) >= 0.9
     row = {v: i for i, v in enumerate(p.vec_id)}
@@ -344,14 +587,19 @@ def test_ann_recall(spark):
     assert (got.groupby("vec_id")["rank"].apply(list).map(lambda r: r == list(range(1, 11)))).all()
 
 
-def test_ann_recall_where_tables_share_a_shard(spark):
-    """A neighbour found through several tables takes one of the k places, not several."""
+@pytest.mark.parametrize("tables, rows", [((1,), 20_000), ((4,), 20_000), ((4,), 50), ((2, 8), 90)])
+def test_ann_recall_of_clusters(spark, monkeypatch, tables, rows):
+    """A neighbour found through several tables takes one of the k places; buckets larger than a shard are searched whole, in copies of the shard too."""
+    monkeypatch.setattr(ann, "TABLES", tables)
+    monkeypatch.setattr(ann, "SHARD_ROWS", rows)
+    monkeypatch.setattr(ann, "SHARD_QUERIES", 10 * rows)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 0 if rows == 90 else 64)
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(15, 64)), 40, 0) + rng.normal(size=(600, 64)) * 0.15
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
     np.fill_diagonal(s, -9)
-    got = ann_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    got = ann_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), step=1).toPandas()
     near = got.groupby("vec_id").neighbor_id.apply(list)
     assert len(near) == 600 and all(len(set(v)) == len(v) == 10 for v in near)
     assert np.mean([len(set(near[i]) & set(np.argsort(-row)[:10])) / 10 for i, row in enumerate(s)]) >= 0.9
@@ -362,8 +610,10 @@ def test_hashing():
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
     for parts in (1, 2):
         h = Tables.make(6, 2, parts)
-        assert (h.probes(x[:, :6], 1, 7)[:, 0] == h.bucket(x[:, :6], 1)).all()
-        assert all(len(set(r)) == 7 for r in h.probes(x[:, :6], 1, 7))
+        away = h.distances(x[:, :6], 1)
+        cost = at_buckets(away, np.arange(h.buckets))
+        assert (cost.argmin(1) == h.bucket(x[:, :6], 1)).all() and (cost >= 0).all()
+        assert ((cost <= reach(away, 7)[:, None]).sum(1) >= 7).all()
 
 
 def test_pipeline_against_brute_force(spark, sf_dir, tmp_path):
