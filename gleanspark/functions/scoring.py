@@ -38,9 +38,10 @@ def static_score(url: Column, word_count: Column, title_length: Column, english:
     return score if utility_query else score * F.when(urls.is_utility(url), 0.15).otherwise(1.0)
 
 
-def static_score_sql(url: str, word_count: str, title_length: str, english: str) -> str:
+def static_score_sql(url: str, word_count: str, title_length: str, english: str, utility_query: bool = False) -> str:
+    utility = "" if utility_query else f" * case when regexp_matches(lower({url}), '{urls.UTILITY}') then 0.15::double else 1.0::double end"
     return (
         f"(0.35 * ({soft_exp_sql(f'(-0.02::double * strlen({url}))')}) + 0.35 * {urls.tld_score_sql(f'({urls.tld_sql(url)})')}"
         f" + 0.15 / (1.0::double + pow(({word_count}) - 600, 2) / 250000.0) + 0.15 * ({soft_exp_sql(f'(-0.08::double * greatest(({title_length}) - 10, 0))')}))"
-        f" * case when {english} then 1.0::double else 0.14 end * case when regexp_matches(lower({url}), '{urls.UTILITY}') then 0.15::double else 1.0 end"
+        f" * case when {english} then 1.0::double else 0.14 end{utility}"
     )

@@ -7,6 +7,7 @@ array of places for each term, and the query is one Boolean expression over thes
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,37 @@ def synonym_pages(posts: DataFrame, node: Synonyms) -> DataFrame:
     return own.union(others).groupBy("seq").agg(F.bool_and("is_synonym").alias("is_synonym"))
 
 
+def term_counts(words: DataFrame, terms: list[str]) -> dict[str, int]:
+    """The postings of a query's few terms, from the dictionary."""
+    rows = words.filter(F.col("term").isin(terms)).groupBy("term").agg(F.sum("post_count").alias("n")).collect()
+    return {r["term"]: r["n"] for r in rows}
+
+
+def estimated_posts(node: Node | None, counts: Mapping[str, int], pages: int) -> int:
+    """How many postings there are to be read: a word's own; the sum for either of two; of both, the left one's; a phrase's first term's; without, all pages."""
+    if node is None:
+        return 0
+    if isinstance(node, Word):
+        return counts.get(node.stem, 0)
+    if isinstance(node, Phrase):
+        return counts.get(node.stems[0], 0)
+    if isinstance(node, Not):
+        return pages
+    if isinstance(node, Synonyms):
+        return sum(estimated_posts(n, counts, pages) for n in (node.word, *node.others))
+    left, right = (estimated_posts(n, counts, pages) for n in (node.left, node.right))
+    return left + right if isinstance(node, Or) else left
+
+
+def needs_a_term(node: Node) -> bool:
+    """Whether a page without any of the query's terms can't match."""
+    if isinstance(node, Not):
+        return not needs_a_term(node.node)
+    if isinstance(node, (And, Or)):
+        return (any if isinstance(node, And) else all)(needs_a_term(n) for n in (node.left, node.right))
+    return True
+
+
 # --- one pass --------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.scoring import soft_exp, static_score
-from gleanspark.operators.boolean import column, condition, places_of_pages, places_of_postings
+from gleanspark.operators.boolean import column, condition, needs_a_term, places_of_pages, places_of_postings
 from gleanspark.operators.steps import computed
 from gleanspark.plans.query import Node, leaf_terms, ranking_terms, wants_utility
 
@@ -135,7 +135,7 @@ def rank_index(posts: DataFrame, docs: DataFrame, node: Node | None) -> DataFram
     terms = leaf_terms(node)
     places = places_of_postings(posts, terms)
     names = [column(f, i) for f in ("title", "body") for i in range(len(terms))]
-    joined = d.join(places, "seq", "left")  # pages without any of the terms can match an exclusion
+    joined = d.join(places, "seq", "inner" if needs_a_term(node) else "left")  # pages without any of the terms can match an exclusion
     kind = "array<struct<pos:long,strong:boolean>>"
     filled = joined.select(*d.columns, *[F.coalesce(F.col(n), F.array().cast(kind)).alias(n) for n in names])
     return scored(filled.filter(condition(node, terms)), node, terms)

@@ -7,13 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text, urls
-from gleanspark.operators import index, results
-from gleanspark.operators.ranking import rank_pages
-from gleanspark.plans.corpus import table, web_pages
-from gleanspark.plans.query import compile_query
+from gleanspark.operators import index
+from gleanspark.plans.corpus import table, web_pages, web_pages_sql
 from gleanspark.registry import query
 from gleanspark.sources.html import frontier
-from gleanspark.streaming.ingest import ingest, known_pages
+from gleanspark.streaming.ingest import ingest, known_pages, totals
 
 
 @query("url_dedup", "select url, min(page_id) page_id, count(*) n from pages group by url")
@@ -43,33 +41,48 @@ def page_links(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
-@query("html_parse")
+WEB = f"with {web_pages_sql()}"
+LINKS = f"""select seq, unnest(regexp_extract_all(h, '<a[ \\t\\n\\r][^>]*?href="([^"]+)"', 1)) link from hp"""
+
+
+@query("html_parse", f"{WEB}, n as (select seq, count(*) n from ({LINKS}) group by seq) select seq, url, title_length n_title, n_words, n_bold, n_heading, coalesce(n, 0) n_links, '' base, english from parsed left join n using (seq)")
 def html_parse(spark, sf_dir):
     p = web_pages(table(spark, sf_dir, "pages"))
     strong = F.size(F.filter("words", lambda w: index.has_flag(w["flags"], index.BOLD))), F.size(F.filter("words", lambda w: index.has_flag(w["flags"], index.HEADING)))
     return p.select("seq", "url", F.size("title_words").alias("n_title"), F.size("words").alias("n_words"), strong[0].alias("n_bold"), strong[1].alias("n_heading"), F.size("links").alias("n_links"), "base", "english")
 
 
-@query("page_postings")
+@query("page_postings", f"{WEB} select p.chunk_id, p.seq, p.field, p.term, d.start + p.pos - 1 as location, p.flags from posts p join docs d using (seq)")
 def page_postings(spark, sf_dir):
     p = web_pages(table(spark, sf_dir, "pages"))
     return index.located(index.postings(p), index.documents(p))
 
 
-@query("link_frontier")
+@query("link_frontier", f"""{WEB}, l as (select l.link, regexp_extract(url, '^[a-z]+://[^/]*', 0) base, 1 + seq % 3 depth from ({LINKS}) l join hp using (seq)),
+    u as (select case when starts_with(link, 'http') then link else lower(base) || link end url, depth from l) select url, cast(min(depth) as int) depth, cast({urls.url_hash_sql("any_value(url)")} % 64 as int) part from u group by url""")
 def link_frontier(spark, sf_dir):
-    return frontier(web_pages(table(spark, sf_dir, "pages")))
+    """Links of pages that have a base (their own site's, put in front), and were found at depths of nought to two."""
+    p = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<base href="'), F.regexp_extract("url", "^[a-z]+://[^/]*", 0), F.lit('">'), "html"))
+    return frontier(web_pages(p).withColumn("depth", F.col("seq") % 3))
 
 
-@query("link_shards")
+@query("link_shards", f"select cast({urls.url_hash_sql('url')} % 6 as int) part, count(*) n from pages group by 1")
 def link_shards(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(urls.shard(F.col("url"), 6).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_search")
-def page_search(spark, sf_dir):
-    r = rank_pages(web_pages(table(spark, sf_dir, "pages")), compile_query("erin | from | la"))
-    return results.top_k(results.one_a_url(r.select("seq", "url", "title", F.round("score", 6).alias("score"))))
+@query("url_hashes", f"select page_id, {urls.fnv1a_sql('url')} fnv1a, {urls.url_hash_sql('url')} url_hash from pages")
+def url_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.fnv1a(F.col("url")).alias("fnv1a"), urls.url_hash(F.col("url")).alias("url_hash"))
+
+
+ODD = "%4g+%zz%41%e%"
+
+
+@query("url_decode_lenient", f"select page_id, {urls.leniently_decoded_sql(f'(url || {ODD!r} || page_id)')} as decoded from pages")
+def url_decode_lenient(spark, sf_dir):
+    """URLs with a malformed end, every one decoded."""
+    return table(spark, sf_dir, "pages").select("page_id", urls.leniently_decoded(F.concat("url", F.lit(ODD), F.col("page_id").cast("string"))).alias("decoded"))
 
 
 @query("stream_ingest", "select distinct url from pages")
@@ -80,3 +93,15 @@ def stream_ingest(spark, sf_dir):
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     ingest(spark, f"{sf_dir}/pages.parquet", f"{folder}/index", f"{folder}/checkpoint", once=True).awaitTermination()
     return known_pages(spark, f"{folder}/index").select("url")
+
+
+@query("ingest_totals", """with u as (select url, any_value(html) html from pages where url is not null group by url)
+    select count(*) parsed, cast(count(*) filter (where len(list_filter(string_split_regex(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n\\r]+'), lambda x: x <> '')) < 40) as bigint) indexed,
+    indexed as saved, cast(ceil(count(*) / 100.0) as bigint) chunks from u""")
+def ingest_totals(spark, sf_dir):
+    """Pages parsed, indexed and saved by the stream, and the chunks of at most 100 pages that they make."""
+    from gleanspark.sources.shared import shared_folder
+
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    ingest(spark, f"{sf_dir}/pages.parquet", f"{folder}/index", f"{folder}/checkpoint", once=True, docs_per_chunk=100).awaitTermination()
+    return totals(spark, f"{folder}/index")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanspark.operators import boolean
+from gleanspark.operators.index import dictionary, indexable
 from gleanspark.plans.query import Phrase, Synonyms, Word, compile_query
 from gleanspark.queries.indexing import WITH, pages, posts
 from gleanspark.registry import query
@@ -24,7 +25,7 @@ def by_sets(name: str, text: str, sql: str):
     @query(name, f"{WITH} {sql}")
     def sets(spark, sf_dir):
         p = pages(spark, sf_dir)
-        return boolean.evaluate(posts(spark, sf_dir), p.select("seq"), compile_query(text))
+        return boolean.evaluate(posts(spark, sf_dir), indexable(p).select("seq"), compile_query(text))
 
     @query(f"{name}_one_pass", f"{WITH} {sql}")
     def one_pass(spark, sf_dir):
@@ -61,6 +62,23 @@ def synonym_or(spark, sf_dir):
     return boolean.synonym_pages(posts(spark, sf_dir), node)
 
 
+ESTIMATED = ("erin", "en | er", "en & er", '"attion thanedble"', "-en", "(en | re) & -(erin & from)")
+
+
+def count_sql(term: str) -> str:
+    return f"(select count(*) from posts where term = '{term}')"
+
+
+@query("post_counts", f"""{WITH} select * from (values ('erin', {count_sql("erin")}), ('en | er', {count_sql("en")} + {count_sql("er")}), ('en & er', {count_sql("en")}),
+    ('"attion thanedble"', {count_sql("attion")}), ('-en', (select count(*) from pg)), ('(en | re) & -(erin & from)', {count_sql("en")} + {count_sql("re")})) v(query, posts)""")
+def post_counts(spark, sf_dir):
+    """How many postings a query's parts have, by the rules of estimation."""
+    nodes = {q: compile_query(q) for q in ESTIMATED}
+    known = boolean.term_counts(dictionary(posts(spark, sf_dir)), [t for n in nodes.values() for t in boolean.leaf_terms(n)])
+    n_pages = indexable(pages(spark, sf_dir)).count()
+    return spark.createDataFrame([(q, boolean.estimated_posts(n, known, n_pages)) for q, n in nodes.items()], "query string, posts long")
+
+
 @query("first_match", f"{WITH} select seq, min(pos) pos from posts where term in ('en', 'er') group by seq having count(distinct term) = 2")
 def first_match(spark, sf_dir):
     """A conjunction as postings: the earlier of the two terms' first places."""

@@ -199,6 +199,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def frontier(parsed: DataFrame, parts: int = 64) -> DataFrame:
-    """The pages that are linked to: each resolved ``url`` once, with the ``part`` that is to fetch it."""
-    links = parsed.select("base", F.explode("links").alias("l")).select(urls.resolved(F.col("l.url"), F.col("base")).alias("url")).filter("url is not null").distinct()
+    """The pages that are linked to: each resolved ``url`` once, its least ``depth`` (one more than its page's; pages without a ``depth`` have nought), and the ``part`` that is to fetch it."""
+    depth = F.col("depth") if "depth" in parsed.columns else F.lit(0)
+    links = parsed.select("base", (depth + 1).cast("int").alias("depth"), F.explode("links").alias("l"))
+    links = links.select(urls.resolved(F.col("l.url"), F.col("base")).alias("url"), "depth").filter("url is not null").groupBy("url").agg(F.min("depth").alias("depth"))
     return links.withColumn("part", urls.shard(F.col("url"), parts))
