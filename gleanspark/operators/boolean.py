@@ -123,6 +123,10 @@ def places_of_postings(posts: DataFrame, terms: list[str]) -> DataFrame:
     return computed(gathered, **_place_columns("_hits", terms)).drop("_hits")
 
 
+def _less(k: int):
+    return lambda p: p - k
+
+
 def _placed(p: Column, i: Column) -> Column:
     return F.struct((i + 1).cast("long").alias("pos"), p["field"].alias("field"), p["term"].alias("term"), (p["flags"].bitwiseAND(F.lit(3)) != 0).alias("strong"))
 
@@ -145,8 +149,9 @@ def condition(node: Node, terms: list[str]) -> Column:
         at = [terms.index(s) for s in node.stems]
 
         def in_field(f: str) -> Column:
-            follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(F.col(column(f, x))["pos"], p["pos"] + k) for k, x in enumerate(at) if k])
-            return F.exists(column(f, at[0]), follows)
+            # where the phrase would begin by each of its terms: what they have in common, found by hashing
+            begins = [F.transform(F.col(column(f, x))["pos"], _less(k)) for k, x in enumerate(at)]
+            return F.size(reduce(F.array_intersect, begins)) > 0
 
         return reduce(lambda a, b: a | b, [in_field(f) for f in FIELDS])
     if isinstance(node, Synonyms):

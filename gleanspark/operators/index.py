@@ -58,10 +58,21 @@ def documents(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
     return d.withColumn("start", F.col("end") - need + 1)
 
 
-def postings(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
-    """A row for each term occurrence: chunk, page, field, term, ``pos`` in the page (from 1) and flags. No shuffle."""
-    e = entries(indexable(pages)).select("seq", F.posexplode("posts").alias("i", "p"))
-    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "p.field", "p.term", (F.col("i") + 1).cast("long").alias("pos"), "p.flags")
+def postings(pages: DataFrame, docs_per_chunk: int = CHUNK, only: list[str] | None = None) -> DataFrame:
+    """A row for each term occurrence: chunk, page, field, term, ``pos`` in the page (from 1) and flags. No shuffle. With ``only``, of these
+    terms: what else a page has is dropped within its array, before rows are made."""
+    placed = F.transform("posts", lambda p, i: F.struct(p["field"].alias("field"), p["term"].alias("term"), (i + 1).cast("long").alias("pos"), p["flags"].alias("flags")))
+    if only is not None:
+        placed = F.filter(placed, lambda p: p["term"].isin(only) if only else F.lit(False))
+    e = entries(indexable(pages)).select("seq", F.explode(placed).alias("p"))
+    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "p.field", "p.term", "p.pos", "p.flags")
+
+
+def located_postings(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
+    """All postings with absolute locations in their chunk. Where a page begins is joined to it before its rows are made: pages move, not postings."""
+    start = documents(pages, docs_per_chunk).select("seq", "start")
+    e = entries(indexable(pages)).select("seq", "posts").join(start, "seq").select("seq", "start", F.posexplode("posts").alias("i", "p"))
+    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "p.field", "p.term", (F.col("start") + F.col("i")).alias("location"), "p.flags")
 
 
 def located(posts: DataFrame, docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def chunk_top_k(scored: DataFrame, k: int = K, chunk: str = "chunk_id", tie: str
 
 def one_a_url(scored: DataFrame, tie: str = "seq") -> DataFrame:
     """Of the rows of a URL the best; combined in each task before rows move."""
-    order = F.struct((-F.col("score")).alias("s"), F.col(tie).alias("t"))
+    order = F.struct(F.col("score").isNull().alias("n"), (-F.col("score")).alias("s"), F.col(tie).alias("t"))
     best = scored.groupBy("url").agg(F.min_by(F.struct(*scored.columns), order).alias("b"))
     return best.select("b.*")
 

@@ -17,14 +17,13 @@ def pages(spark, sf_dir):
     return document_pages(table(spark, sf_dir, "documents"))
 
 
-def posts(spark, sf_dir):
-    return index.postings(pages(spark, sf_dir))
+def posts(spark, sf_dir, only=None):
+    return index.postings(pages(spark, sf_dir), only=only)
 
 
 @query("postings_build", f"{WITH} select p.chunk_id, p.seq, p.field, p.term, d.start + p.pos - 1 as location, p.flags from posts p join docs d using (seq)")
 def postings_build(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    return index.located(index.postings(p), index.documents(p))
+    return index.located_postings(pages(spark, sf_dir))
 
 
 @query(
@@ -63,18 +62,18 @@ def vocabulary_count(spark, sf_dir):
 
 @query("doc_freq", f"{WITH} select term, count(distinct seq) doc_freq from posts where term in ({IN_TERMS}) group by term")
 def doc_freq(spark, sf_dir):
-    return posts(spark, sf_dir).filter(F.col("term").isin(TERMS)).groupBy("term").agg(F.countDistinct("seq").alias("doc_freq"))
+    return posts(spark, sf_dir, TERMS).groupBy("term").agg(F.countDistinct("seq").alias("doc_freq"))
 
 
 @query("term_freq", f"{WITH} select seq, term, count(*) tf from posts where term in ({IN_TERMS}) group by seq, term")
 def term_freq(spark, sf_dir):
-    return index.term_frequency(posts(spark, sf_dir), TERMS)
+    return index.term_frequency(posts(spark, sf_dir, TERMS), TERMS)
 
 
 @query("seek_word", f"{WITH} select p.chunk_id, min(d.start + p.pos - 1) as location from posts p join docs d using (seq) where p.term = 'erin' and d.start + p.pos - 1 >= 10000 group by p.chunk_id")
 def seek_word(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return index.first_at_or_after(index.located(index.postings(p).filter("term = 'erin'"), index.documents(p)), "erin", 10_000)
+    return index.first_at_or_after(index.located(index.postings(p, only=["erin"]), index.documents(p)), "erin", 10_000)
 
 
 @query("seek_document", f'{WITH} select chunk_id, arg_min(seq, "end") as seq from docs where "end" >= 10000 group by chunk_id')

@@ -54,8 +54,7 @@ def html_parse(spark, sf_dir):
 
 @query("page_postings", f"{WEB} select p.chunk_id, p.seq, p.field, p.term, d.start + p.pos - 1 as location, p.flags from posts p join docs d using (seq)")
 def page_postings(spark, sf_dir):
-    p = web_pages(table(spark, sf_dir, "pages"))
-    return index.located(index.postings(p), index.documents(p))
+    return index.located_postings(web_pages(table(spark, sf_dir, "pages")))
 
 
 @query("link_frontier", f"""{WEB}, l as (select l.link, regexp_extract(url, '^[a-z]+://[^/]*', 0) base, 1 + seq % 3 depth from ({LINKS}) l join hp using (seq)),

@@ -24,8 +24,8 @@ def by_sets(name: str, text: str, sql: str):
 
     @query(name, f"{WITH} {sql}")
     def sets(spark, sf_dir):
-        p = pages(spark, sf_dir)
-        return boolean.evaluate(posts(spark, sf_dir), indexable(p).select("seq"), compile_query(text))
+        node = compile_query(text)
+        return boolean.evaluate(posts(spark, sf_dir, boolean.leaf_terms(node)), indexable(pages(spark, sf_dir)).select("seq"), node)
 
     @query(f"{name}_one_pass", f"{WITH} {sql}")
     def one_pass(spark, sf_dir):
@@ -59,7 +59,7 @@ def synonym_or(spark, sf_dir):
     node = compile_query("erin", SYNONYMS)
     if node != Synonyms(Word("erin"), (Word("from"), Phrase(("attion", "thanedbl")))):
         raise AssertionError(node)
-    return boolean.synonym_pages(posts(spark, sf_dir), node)
+    return boolean.synonym_pages(posts(spark, sf_dir, boolean.leaf_terms(node)), node)
 
 
 ESTIMATED = ("erin", "en | er", "en & er", '"attion thanedble"', "-en", "(en | re) & -(erin & from)")
@@ -82,5 +82,5 @@ def post_counts(spark, sf_dir):
 @query("first_match", f"{WITH} select seq, min(pos) pos from posts where term in ('en', 'er') group by seq having count(distinct term) = 2")
 def first_match(spark, sf_dir):
     """A conjunction as postings: the earlier of the two terms' first places."""
-    hit = posts(spark, sf_dir).filter(F.col("term").isin("en", "er"))
+    hit = posts(spark, sf_dir, ["en", "er"])
     return hit.groupBy("seq").agg(F.min("pos").alias("pos"), F.countDistinct("term").alias("n")).filter("n = 2").drop("n")

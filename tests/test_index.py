@@ -109,3 +109,38 @@ def test_merge_and_html(spark):
     assert "&lt;b&gt;" in results.as_html(lists[0]).first()["html"]
     chunks = lists[0].withColumn("chunk_id", F.lit(0))
     assert [r["rank"] for r in results.chunk_top_k(chunks, 1).collect()] == [1]
+
+
+def test_only_some_terms_and_located_postings(spark):
+    pages, _ = corpus(spark)
+    all_ = index.postings(pages)
+    only = index.postings(pages, only=["appl", "fig"])
+    assert sorted(map(repr, only.collect())) == sorted(map(repr, all_.filter("term in ('appl', 'fig')").collect())) and only.count()
+    assert index.postings(pages, only=[]).count() == 0
+    located = index.located(all_, index.documents(pages))
+    assert sorted(map(repr, index.located_postings(pages).collect())) == sorted(map(repr, located.collect()))
+
+
+def test_exclusion_leaves_out_unindexed_pages(spark):
+    pages = frame(spark, [(0, "u0", ["w"] * 40, [("x", 0)], True), (1, "u1", ["w"], [("x", 0)], True), (2, "u2", ["w"], [("zebra", 0)], True)])
+    node = compile_query("-zebra")
+    sets = boolean.evaluate(index.postings(pages), index.indexable(pages).select("seq"), node)
+    assert {r[0] for r in sets.collect()} == {r[0] for r in boolean.matches(pages, node).collect()} == {1}
+
+
+def test_which_queries_need_a_term():
+    needs = {"a1": True, "-a1": False, "a1 -b1": True, "-a1 -b1": False, "a1 | -b1": False, "-(a1 | -b1)": True, '"a1 b1"': True, "-(-a1)": True}
+    assert {q: boolean.needs_a_term(compile_query(q)) for q in needs} == needs
+
+
+def test_estimates():
+    counts = {"a1": 5, "b1": 7}
+    want = {"a1": 5, "zz": 0, "a1 | b1": 12, "b1 & a1": 7, '"a1 b1"': 5, "-a1": 100, "a1 -b1": 5}
+    assert {q: boolean.estimated_posts(compile_query(q), counts, 100) for q in want} == want
+    assert boolean.estimated_posts(None, counts, 100) == 0
+
+
+def test_the_best_of_a_url(spark):
+    rows = [(1, "a", 0.5), (2, "a", 0.9), (3, "a", 0.9), (4, "b", None), (5, "b", 0.1), (6, None, 0.3)]
+    got = results.one_a_url(spark.createDataFrame(rows, "seq long, url string, score double")).collect()
+    assert sorted((r["url"] or "", r["seq"]) for r in got) == [("", 6), ("a", 2), ("b", 5)]

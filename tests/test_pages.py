@@ -61,3 +61,52 @@ def test_stream_twice(spark, tmp_path):
     ingest(spark, source, out, check, once=True).awaitTermination()
     assert sorted(r["url"] for r in known_pages(spark, out).collect()) == ["a", "b", "c"]
     assert spark.read.parquet(f"{out}/postings").count() == 3
+
+
+def hashed(url):
+    h = 2166136261
+    for b in url.encode():
+        h = (h ^ (b if b < 128 else b | 0xFFFFFF00)) * 16777619 & 0xFFFFFFFF
+    f = h
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> by) * factor & 0xFFFFFFFF
+    return f, h ^ h >> 16
+
+
+def test_url_hash_against_single_steps(spark):
+    from gleanspark.functions import urls
+
+    texts = ["", "a", "http://x.com/ä/日本", "https://www.example.org/en/14?page=2&ref=x"]
+    df = spark.createDataFrame([(t,) for t in texts], "u string")
+    got = df.select("u", urls.fnv1a(F.col("u")), urls.url_hash(F.col("u"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {t: hashed(t) for t in texts}
+
+
+def test_lenient_decoding(spark):
+    from gleanspark.functions import urls
+
+    cases = {"a+b%20c": "a b c", "%4g": "\x04", "%zz": "\x00", "x%4": "x4", "x%": "x", "%C3%A4": "ä", "100%+": "100 ", "": "", "%%41": "\x001"}
+    df = spark.createDataFrame([(t,) for t in cases], "u string")
+    assert {r[0]: r[1] for r in df.select("u", urls.leniently_decoded(F.col("u"))).collect()} == cases
+
+
+def test_frontier_has_the_least_depth(spark):
+    pages = spark.createDataFrame([(0, "u0", '<base href="http://s/"><a href="x">x</a><a href="http://t/y">y</a>'), (1, "u1", '<a href="http://s/x">x</a><a href="lost">z</a>')], "seq long, url string, html string")
+    parsed = parse_pages(pages).withColumn("depth", F.lit(5) - 2 * F.col("seq"))
+    assert {(r["url"], r["depth"]) for r in frontier(parsed).collect()} == {("http://s/x", 4), ("http://t/y", 6)}
+    assert {r["depth"] for r in frontier(parsed.drop("depth")).collect()} == {1}
+
+
+def test_batches_begin_new_chunks(spark, tmp_path):
+    """Batches of seven and three pages in chunks of at most four; a batch written again replaces itself."""
+    from gleanspark.streaming.ingest import known_pages, totals, write_batch
+
+    html = "<title>t</title>word word"
+    batches = [spark.createDataFrame([(i, f"u{i}", html) for i in ids], "page_id long, url string, html string") for ids in (range(7), range(7, 10))]
+    out = str(tmp_path)
+    for _ in range(2):
+        for n, b in enumerate(batches):
+            write_batch(b, n, out, 4)
+    assert tuple(totals(spark, out).first()) == (10, 10, 10, 3)
+    docs = known_pages(spark, out)
+    assert sorted((r["chunk_id"], r["n"], r["a"]) for r in docs.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("start").alias("a")).collect()) == [(0, 4, 1), (1, 3, 1), (2, 3, 1)]
