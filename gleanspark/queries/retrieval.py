@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from gleanspark.functions import text
 from gleanspark.operators import boolean
 from gleanspark.operators.index import dictionary, indexable
 from gleanspark.plans.query import Phrase, Synonyms, Word, compile_query
 from gleanspark.queries.indexing import WITH, pages, posts
 from gleanspark.registry import query
+from gleanspark.sources.shared import shared_folder
+from gleanspark.sources.synsets import read_synsets
 
 HAS = "select distinct seq from posts where term = '{}'"
 SETS = {x: HAS.format(x) for x in ("en", "er", "from", "erin", "re")}
@@ -19,17 +24,17 @@ def phrase_sql(*terms: str) -> str:
     return f"select distinct p0.seq from posts p0 {joins} where p0.term = '{terms[0]}'"
 
 
-def by_sets(name: str, text: str, sql: str):
+def by_sets(name: str, wanted: str, sql: str):
     """Registers a query by set operators over postings, and the same in one pass over pages."""
 
     @query(name, f"{WITH} {sql}")
     def sets(spark, sf_dir):
-        node = compile_query(text)
+        node = compile_query(wanted)
         return boolean.evaluate(posts(spark, sf_dir, boolean.leaf_terms(node)), indexable(pages(spark, sf_dir)).select("seq"), node)
 
     @query(f"{name}_one_pass", f"{WITH} {sql}")
     def one_pass(spark, sf_dir):
-        return boolean.matches(pages(spark, sf_dir), compile_query(text)).select("seq")
+        return boolean.matches(pages(spark, sf_dir), compile_query(wanted)).select("seq")
 
 
 by_sets("word_scan", "from", SETS["from"])
@@ -84,3 +89,16 @@ def first_match(spark, sf_dir):
     """A conjunction as postings: the earlier of the two terms' first places."""
     hit = posts(spark, sf_dir, ["en", "er"])
     return hit.groupBy("seq").agg(F.min("pos").alias("pos"), F.countDistinct("term").alias("n")).filter("n = 2").drop("n")
+
+
+SYNSETS = ("car;automobile;auto;", "erin;from;attion thanedble;", "Running;run;")
+LEMMAS = ", ".join(f"({line!r}, {i}, '{lemma.lower()}')" for line in SYNSETS for i, lemma in enumerate(line.split(";")) if lemma)
+
+
+@query("synsets", f"with l(line, position, lemma) as (values {LEMMAS}), v as (select t, stem from {text.stems_duck('(select distinct lemma t from l)')}) select line as synset, position, lemma, stem from l join v on v.t = l.lemma")
+def synsets(spark, sf_dir):
+    """Synonym sets written as a text file and loaded: each lemma with its stem."""
+    path = f"{shared_folder(spark)}/synsets-{uuid.uuid4().hex}"
+    spark.createDataFrame([(x,) for x in SYNSETS], "value string").write.text(path)
+    names = spark.createDataFrame([(x,) for x in SYNSETS], "synset string").withColumn("set_id", F.xxhash64("synset"))
+    return read_synsets(spark, path).join(names, "set_id").select("synset", F.col("position").cast("int"), "lemma", "stem")
