@@ -196,7 +196,7 @@ def compiled(rules: tuple[Rule, ...]):
     """Per rule the bytes expression and its query; the trigrams asked for; a table from trigram code to its number."""
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*[trigrams_in(q) for q in queries])) if queries else []
-    number = np.zeros(1 << 24, np.uint16)  # 0: not asked for
+    number = np.zeros(1 << 24, np.uint16 if len(wanted) < 1 << 16 else np.uint32)  # 0: not asked for
     for i, t in enumerate(wanted):
         number[code(t)] = i + 1
     return [re.compile(r.pattern.encode()) for r in rules], queries, wanted, number
@@ -247,7 +247,8 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Offsets are in bytes of the UTF-8 text; matches don't overlap and are taken from left to right. Null and
     empty texts have no match. Rows without an id are scanned too and give a null ``doc_id``; repeated rows
-    give repeated results; other columns of ``docs`` are ignored. Texts are searched whole, however long.
+    give repeated results; other columns of ``docs`` are ignored. Texts are searched whole, however long; an empty table
+    gives no rows; rules that match at the same place each have their row.
     """
     rules = tuple(rules)
 
