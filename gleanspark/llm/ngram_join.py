@@ -334,28 +334,32 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     again = not f.filter("rows > 1").isEmpty()
     sets = f.filter("set_key is not null").groupBy("set_key")
     reps = written(sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-    member = checkpointed(families(candidate_links(source, again, reps, n, threshold)))
+    each, whole = bucket_members(reps)
+    sized = reps.select("rep", "set_key", "n_grams").join(each.select("rep").union(whole.select(F.explode(F.array("a", "b")))).distinct(), "rep")
+    sets = set_rows(source, again, sized, n)
+    member = checkpointed(families(bucket_links(each.join(sets.select("rep", "n_grams", "point"), "rep"), threshold).unionByName(whole)))
     member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
-    linked = verified(source, again, member.join(reps.select("rep", "copies", "n_grams", "set_key"), F.col("node") == F.col("rep")), n, threshold)
+    linked = verified(sets.select("rep", "grams"), member.join(reps.select("rep", "copies", "n_grams"), F.col("node") == F.col("rep")), threshold)
     per_set = reps.select("set_key", "rep", "copies").join(linked, "rep", "left")
     per_set = per_set.select("set_key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = f.select("doc_id", "set_key").join(per_set, "set_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def candidate_links(source: DataFrame, again: bool, reps: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b): forests over the buckets of bands, of pairs that the points leave possible."""
+def bucket_members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets of bands with more than one member: (bucket, rep), and of those that are linked whole (a, b)."""
     banded = reps.select("rep", F.explode("bands").alias("h"))  # a band's number is in its hash
-    buckets = written(banded.groupBy("h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    inside = checkpointed(banded.join(maybe_broadcast(buckets), "h"))
+    buckets = banded.groupBy("h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    inside = checkpointed(banded.join(buckets, "h"))
     whole = inside.filter(F.col("c") > BUCKET_DOCS).filter("rep <> a").select("a", F.col("rep").alias("b"))
     # the same documents meet in many bands: each set of them is searched once
     lists = inside.filter(F.col("c") <= BUCKET_DOCS).groupBy("h").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
     # a key that two lists may share by chance: then they are searched as one
-    each = checkpointed(lists.select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep")).distinct())
-    sized = reps.select("rep", "set_key", "n_grams").join(maybe_broadcast(checkpointed(each.select("rep").distinct())), "rep")
-    pointed = set_rows(source, again, sized, n, grams=False)
-    sorted_ = each.join(pointed, "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    return checkpointed(lists.select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep")).distinct()), whole
+
+
+def bucket_links(members: DataFrame, t: float) -> DataFrame:
+    """(a, b): forests over the buckets, of pairs that the points leave possible; members are (bucket, rep, n_grams, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
@@ -365,14 +369,12 @@ def candidate_links(source: DataFrame, again: bool, reps: DataFrame, n: int, t:
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["a", "b"])
 
-    return sorted_.mapInArrow(run, "a long, b long").unionByName(whole)
+    return members.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(run, "a long, b long")
 
 
-def set_rows(source: DataFrame, again: bool, reps: DataFrame, n: int, grams: bool) -> DataFrame:
-    """``reps`` (rep, set_key ...) with the ``grams`` of its sets or their ``point``; of rows that share an id (where ids come ``again``) one of the chosen set."""
-    names = reps.columns
-    texts = source.join(maybe_broadcast(written(reps)), F.col("doc_id") == F.col("rep")).select(*names, "text")
-    kind = "grams array<long>" if grams else "point binary"
+def set_rows(source: DataFrame, again: bool, reps: DataFrame, n: int) -> DataFrame:
+    """(rep, n_grams) of ``reps`` (with set_key) with their sets' ``point`` and ``grams``; of rows that share an id (where ids come ``again``) one of the chosen set."""
+    texts = source.join(maybe_broadcast(written(reps)), F.col("doc_id") == F.col("rep")).select("rep", "n_grams", "set_key", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         flat, offsets = gram_sets(batch.column("text"), n)
@@ -384,14 +386,11 @@ def set_rows(source: DataFrame, again: bool, reps: DataFrame, n: int, grams: boo
         keys[some] = _set_keys(flat, offsets[:-1][some], size[some])
         right = np.flatnonzero((size > 0) & (keys == batch.column("set_key").to_numpy()))
         rows = pa.array(right)
-        if grams:
-            made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))).take(rows)
-        else:
-            made = pa.array([p for i, p in enumerate(points(flat, offsets)) if keys[i] == batch.column("set_key")[i].as_py() and size[i]], pa.binary())
-        return pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in names], made], names=[*names, kind.split()[0]])
+        grams = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))).take(rows)
+        point = pa.array(points(flat, offsets), pa.binary()).take(rows)
+        return pa.RecordBatch.from_arrays([batch.column("rep").take(rows), batch.column("n_grams").take(rows), point, grams], names=["rep", "n_grams", "point", "grams"])
 
-    fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in reps.schema)
-    out = texts.mapInArrow(by_slices(run), f"{fields}, {kind}")
+    out = texts.mapInArrow(by_slices(run), "rep long, n_grams int, point binary, grams array<long>")
     return written(out.dropDuplicates(["rep"]) if again else out)
 
 
@@ -413,15 +412,14 @@ def leaf_pairs(large: DataFrame, t: float) -> DataFrame:
     return salted.join(maybe_broadcast(ends), ["root", "size", "salt"]).select("rep", "root", "copies", "task", "side", F.lit(True).alias("leaf"))
 
 
-def verified(source: DataFrame, again: bool, member: DataFrame, n: int, t: float) -> DataFrame:
-    """(rep, class_id, links) of the sets of families: members are (node, root, rep, copies, n_grams, set_key)."""
-    member = checkpointed(member.select("rep", "root", "copies", "n_grams", "set_key"))
+def verified(sets: DataFrame, member: DataFrame, t: float) -> DataFrame:
+    """(rep, class_id, links) of the ``sets`` (rep, grams) of families: members are (node, root, rep, copies, n_grams)."""
+    member = checkpointed(member.select("rep", "root", "copies", "n_grams"))
     per_family = member.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams"))
     per_family = checkpointed(per_family.withColumn("large", (F.col("docs") > LEAF_DOCS) | (F.col("grams") > LEAF_GRAMS)))
     total = per_family.filter("not large").agg(F.sum("docs"), F.sum("grams")).first()
     bins = 1 + max((total[0] or 0) // LEAF_DOCS, (total[1] or 0) // LEAF_GRAMS)
     kinds = checkpointed(member.join(maybe_broadcast(per_family.select("root", "large")), "root"))
-    sets = set_rows(source, again, kinds.select("rep", "set_key"), n, grams=True).drop("set_key")
     # small families: many to a task
     small = kinds.filter("not large").select("rep", "root", "copies", F.pmod(F.xxhash64("root"), F.lit(bins)).alias("task"), F.lit(0).alias("side"), F.lit(False).alias("leaf"))
     any_large = not per_family.filter("large").isEmpty()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.llm.common import by_position, maybe_broadcast, mix64, pick, text_slices, window_hashes, words, written
+from gleanspark.llm.common import by_position, mix64, pick, text_slices, window_hashes, words, written
 
 WINDOW = 50
 GRAM = 25
@@ -178,20 +178,20 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     runs = written(candidate_runs(source, hot_cells(source, window, gram), window, gram))
     # exactly: the kinds of runs, and the documents of each; the fingerprints of two documents
     kinds = written(runs.groupBy("fp", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("n").alias("n")))
-    repeated = written(kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("fp", "kinds"))
-    known = written(kinds.join(maybe_broadcast(repeated), "fp"))
+    repeated = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("fp", "kinds")
+    known = written(kinds.join(repeated, "fp"))
     # all windows of a fingerprint's only run are repeated, or none
     whole = known.filter("kinds = 1").select("fp", "run", F.lit(0).alias("from"), F.col("n").alias("to"), "least")
     # of several runs one of each kind is taken apart
     several = known.filter("kinds > 1").select("fp", "run", "least", "most")
-    first = runs.join(maybe_broadcast(written(several)), ["fp", "run"]).filter("doc_id = least").select("fp", "run", "least", "most", "hashes")
+    first = runs.join(several, ["fp", "run"]).filter("doc_id = least").select("fp", "run", "least", "most", "hashes")
     each = written(first).select("fp", "run", "least", "most", F.posexplode("hashes").alias("i", "h"))
     windows = each.groupBy("fp", "h").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("fp", "h", F.col("a").alias("first"))
-    hits = each.join(maybe_broadcast(written(windows)), ["fp", "h"]).groupBy("fp", "run", "i").agg(F.min("first").alias("least"))
+    hits = each.join(windows, ["fp", "h"]).groupBy("fp", "run", "i").agg(F.min("first").alias("least"))
     island = F.col("i") - F.row_number().over(Window.partitionBy("fp", "run", "least").orderBy("i"))  # of a run's windows, which are few
     parts = hits.withColumn("island", island).groupBy("fp", "run", "least", "island").agg(F.min("i").alias("from"), (F.max("i") + 1).alias("to"))
     stretches = written(whole.unionByName(parts.select("fp", "run", "from", "to", "least")))
-    found = runs.select("fp", "run", "doc_id", "pos").join(maybe_broadcast(stretches), ["fp", "run"])
+    found = runs.select("fp", "run", "doc_id", "pos").join(stretches, ["fp", "run"])
     stretch = F.struct((F.col("pos") + F.col("from")).alias("a"), (F.col("pos") + F.col("to")).alias("b"), (F.col("doc_id") > F.col("least")).alias("later"))
     per_doc = found.select("doc_id", stretch.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     return per_doc.select("doc_id", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.later").alias("later")).mapInArrow(_spans(window), SPANS)
