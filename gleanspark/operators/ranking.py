@@ -81,12 +81,12 @@ def dynamic(df: DataFrame, terms: list[str], all_terms: list[str], name: str) ->
     """``df`` (with arrays of places, ``url``, ``title_length``, ``word_count``) and ``name``, its score for the terms; with counters of each field."""
     if not terms:
         return df.withColumn(name, F.lit(0.0))
-    for field in ("title", "body"):
-        places = f"{name}_{field}"
-        df = computed(df, **{places: F.array(*[F.col(column(field, all_terms.index(t))) for t in terms])})
-        df = computed(df, **{f"{places}_r": rarest(places)})
-        df = computed(df, **{f"{places}_s": span_counts(places)})
-        df = computed(df, **{f"{places}_{c}": x for c, x in counters(f"{places}_s", len(terms)).items()})
+    # each step for both fields at once, for every step is a plan to be analysed
+    name_of = {f: f"{name}_{f}" for f in ("title", "body")}
+    df = computed(df, **{p: F.array(*[F.col(column(f, all_terms.index(t))) for t in terms]) for f, p in name_of.items()})
+    df = computed(df, **{f"{p}_r": rarest(p) for p in name_of.values()})
+    df = computed(df, **{f"{p}_s": span_counts(p) for p in name_of.values()})
+    df = computed(df, **{f"{p}_{c}": x for p in name_of.values() for c, x in counters(f"{p}_s", len(terms)).items()})
     sizes = lambda f: F.transform(f"{name}_{f}", lambda a: F.size(a))
     counts = lambda f: {c: F.col(f"{name}_{f}_{c}") for c in COUNTERS}
     in_url = F.lower("url").rlike("|".join(_literal(t) for t in terms))
