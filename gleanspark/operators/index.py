@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from gleanspark.functions import urls
 from gleanspark.functions.stemming import stems
+from gleanspark.operators.steps import computed
 
 PAGE = "seq long, url string, title_words array<string>, words array<struct<word:string,flags:tinyint>>, english boolean"
 #: Pages of so many title words or more aren't indexed.
@@ -90,6 +91,17 @@ def dictionary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("post_count"), F.countDistinct("seq").alias("doc_freq"), F.max("pos").alias("last_pos"))
 
 
+def dictionary_of_pages(pages: DataFrame) -> DataFrame:
+    """``dictionary`` straight from pages. What a page has of a term is counted once more within its own array, so that one aggregate, combined
+    in each task, counts occurrences and pages alike; postings don't move."""
+    row = lambda p, n, d, pos: F.struct(p["field"].alias("field"), p["term"].alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"), pos.cast("long").alias("pos"))
+    own = computed(entries(indexable(pages)).select("posts"), _posts=F.col("posts"))
+    once = F.array_distinct(F.transform("_posts", lambda p: F.struct(p["field"].alias("field"), p["term"].alias("term"))))
+    rows = F.concat(F.transform("_posts", lambda p, i: row(p, 1, 0, i + 1)), F.transform(once, lambda p: row(p, 0, 1, F.lit(0))))
+    counted = own.select(F.explode(rows).alias("x")).groupBy("x.field", "x.term")
+    return counted.agg(F.sum("x.n").alias("post_count"), F.sum("x.d").alias("doc_freq"), F.max("x.pos").alias("last_pos"))
+
+
 def statistics(posts: DataFrame, docs: DataFrame) -> DataFrame:
     """For each chunk: distinct terms, pages, locations (a page counts as one more) and the last location."""
     per_chunk = posts.groupBy("chunk_id").agg(F.countDistinct("field", "term").alias("words"), F.count(F.lit(1)).alias("posts"))

@@ -47,7 +47,7 @@ def index_stats(spark, sf_dir):
 
 @query("dictionary", f"{WITH} select field, term, count(*) post_count, count(distinct seq) doc_freq, max(pos) last_pos from posts group by field, term")
 def dictionary(spark, sf_dir):
-    return index.dictionary(posts(spark, sf_dir))
+    return index.dictionary_of_pages(pages(spark, sf_dir))
 
 
 @query("marked_terms", f"{WITH} select case field when 'title' then '@' || term else term end marked, count(*) n from posts group by 1")

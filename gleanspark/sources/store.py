@@ -31,8 +31,8 @@ def build_index(pages: DataFrame, docs_per_chunk: int = CHUNK) -> Index:
     return Index(documents(pages, docs_per_chunk), postings(pages, docs_per_chunk))
 
 
-def write_index(index: Index, path: str, mode: str = "overwrite", files_a_chunk: int = 1) -> None:
-    """Chunks as partitions. With ``files_a_chunk`` above one a chunk's postings are spread over files by term."""
+def write_index(index: Index, path: str, mode: str = "overwrite", files_a_chunk: int = 4) -> None:
+    """Chunks as partitions, a chunk's postings spread over ``files_a_chunk`` files by term, so that a chunk is sorted by several tasks and a term lies in one file."""
     index.docs.repartition("chunk_id").sortWithinPartitions("chunk_id", "seq").write.mode(mode).partitionBy("chunk_id").parquet(f"{path}/docs")
     part = F.pmod(F.xxhash64("term"), F.lit(files_a_chunk))
     spread = index.postings.repartition("chunk_id", part).sortWithinPartitions("chunk_id", "term", "seq", "pos")

@@ -144,3 +144,10 @@ def test_the_best_of_a_url(spark):
     rows = [(1, "a", 0.5), (2, "a", 0.9), (3, "a", 0.9), (4, "b", None), (5, "b", 0.1), (6, None, 0.3)]
     got = results.one_a_url(spark.createDataFrame(rows, "seq long, url string, score double")).collect()
     assert sorted((r["url"] or "", r["seq"]) for r in got) == [("", 6), ("a", 2), ("b", 5)]
+
+
+def test_dictionary_of_pages(spark):
+    pages, _ = corpus(spark)
+    want = index.dictionary(index.postings(pages)).select("field", "term", "post_count", "doc_freq", "last_pos")
+    assert sorted(map(tuple, index.dictionary_of_pages(pages).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert index.dictionary_of_pages(frame(spark, [])).count() == 0
