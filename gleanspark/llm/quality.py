@@ -29,8 +29,8 @@ from gleanspark.llm.common import fresh, hash_strings, lowest_hashes, mix64, pic
 #: Buckets that words are hashed into (a parameter of all functions below), and the length of their vectors.
 BUCKETS, DIM = 1 << 15, 32
 SIGNS, REACH = 4, 2
-#: Pairs of neighbours that a task gathers before it adds them to its table.
-PENDING = 1 << 21
+#: Words whose pairs of neighbours a task adds to its table at a time; bounds what the pairs take.
+STRETCH = 1 << 17
 #: Labelled documents used for training at most.
 MAX_LABELLED = 20_000
 HIDDEN = 32
@@ -81,33 +81,26 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors(rows)
-        total, pending, n_pending = np.zeros(rows * DIM), [], 0
+        total = np.zeros(rows * DIM)
 
-        def add() -> None:
+        def add(a: np.ndarray, b: np.ndarray) -> None:
             # each distinct pair is added once, as often as it was seen
-            pair, n = np.concatenate([p for p, _ in pending]), np.concatenate([n for _, n in pending])
+            pair, n = np.unique(a * rows + b, return_counts=True)
             x, y = pair // rows, pair % rows
             for j in range(SIGNS):
-                np.add(total, np.bincount(x * DIM + place[y, j], sign[y, j] * n, rows * DIM), out=total)
-                np.add(total, np.bincount(y * DIM + place[x, j], sign[x, j] * n, rows * DIM), out=total)
+                np.add.at(total, x * DIM + place[y, j], sign[y, j] * n)
+                np.add.at(total, y * DIM + place[x, j], sign[x, j] * n)
 
         for batch in batches:
             for piece in text_slices(batch):
                 words, shapes, offsets = coded(piece.column("text"), buckets)
-                if not len(words):
-                    continue
                 doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
                 for k in range(1, REACH + 1):
-                    near = np.flatnonzero(doc[k:] == doc[:-k])
-                    for a, b in ((words[near], words[near + k]), (shapes[near], shapes[near + k])):
-                        pair, n = np.unique(a * rows + b, return_counts=True)
-                        pending.append((pair, n))
-                        n_pending += len(pair)
-                if n_pending > PENDING:
-                    add()
-                    pending, n_pending = [], 0
-        if pending:
-            add()
+                    for i in range(0, len(words) - k, STRETCH):
+                        to = min(i + STRETCH, len(words) - k)
+                        near = i + np.flatnonzero(doc[i + k : to + k] == doc[i:to])
+                        add(words[near], words[near + k])
+                        add(shapes[near], shapes[near + k])
         total = total.reshape(rows, DIM)
         some = np.flatnonzero(total.any(1))
         if len(some):

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -452,6 +453,59 @@ def test_word_vectors_against_single_steps(spark):
     assert np.allclose(got, np.divide(total, norm, out=np.zeros_like(total), where=norm > 0), atol=1e-5)
 
 
+def task_of_word_vectors(monkeypatch, buckets):
+    """What ``word_vectors`` runs in a task: from batches to the rows of its table."""
+    caught = []
+
+    class Docs:
+        def mapInArrow(self, f, schema):
+            caught.append(f)
+            raise StopIteration
+
+    with monkeypatch.context() as m:
+        m.setattr(quality, "pick", lambda *a: Docs())
+        with pytest.raises(StopIteration):
+            quality.word_vectors(None, buckets)
+    return caught[0]
+
+
+def test_word_vectors_hold_little_beside_their_table(monkeypatch):
+    """Texts of hardly any pair twice: the task's own memory must not follow the number of pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(21)
+    texts = [" ".join(map(str, rng.integers(10_000, 100_000, 600_000))) for _ in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    task = task_of_word_vectors(monkeypatch, quality.BUCKETS)
+    tracemalloc.start()
+    try:
+        (table,) = task(iter([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert table.num_rows > quality.BUCKETS // 2 and most < 90e6
+
+
+def test_word_vectors_add_up_over_stretches(monkeypatch):
+    """Pairs that lie across the ends of stretches, inside a text and between texts, count as any other."""
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    texts = [sentence(rng, n) for n in (1, 0, 30, 2, 7, 8, 3, 14, 1)]
+    monkeypatch.setattr(quality, "STRETCH", 7)
+    (table,) = task_of_word_vectors(monkeypatch, 64)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    place, sign = quality.index_vectors(64 + quality.N_SHAPES)
+    total = np.zeros((64 + quality.N_SHAPES, quality.DIM))
+    for t in texts:
+        for seq in quality.coded(pa.array([t]), 64)[:2]:
+            for i, x in enumerate(seq):
+                for y in [*seq[max(0, i - 2) : i], *seq[i + 1 : i + 3]]:
+                    np.add.at(total[x], place[y], sign[y])
+    got = np.zeros_like(total)
+    got[table.column("row").to_numpy()] = np.stack([table.column(f"d{j}").to_numpy() for j in range(quality.DIM)], 1)
+    assert (got == total).all()
+
+
 def test_passages_are_cut_out(spark):
     rng = random.Random(18)
     shared, other = sentence(rng, 60), sentence(rng, 9)
