@@ -13,12 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.operators.index import entries, indexable
+from gleanspark.operators.analysis import FIELDS, attributes, with_places
 from gleanspark.operators.steps import computed
 from gleanspark.plans.query import And, Node, Not, Or, Phrase, Synonyms, Word, leaf_terms
 
-FIELDS = ("title", "body")
-
 
 # --- sets of pages ---------------------------------------------------------------------------------------
 
@@ -109,11 +107,10 @@ def column(field: str, i: int) -> str:
     return f"{field}_{i}"
 
 
-def places_of_pages(pages: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and, for each field and term, an array of its (pos, strong) in order; straight from pages, without a shuffle."""
-    hits = F.filter(F.transform("posts", _placed), lambda p: p["term"].isin(terms) if terms else F.lit(False))
-    found = computed(entries(indexable(pages)), _hits=hits).select(*keep, "_hits")
-    return computed(found, **_place_columns("_hits", terms)).drop("_hits") if terms else found.drop("_hits")
+def places_of_pages(pages: DataFrame, node: Node, keep: list[str]) -> DataFrame:
+    """Of the pages that match: ``keep`` and, for each field and term, an array of its (pos, strong) in order; straight from pages, without a shuffle."""
+    terms = leaf_terms(node)
+    return with_places(pages, terms, keep, needs_a_term(node)).filter(condition(node, terms))
 
 
 def places_of_postings(posts: DataFrame, terms: list[str]) -> DataFrame:
@@ -127,10 +124,6 @@ def _less(k: int):
     return lambda p: p - k
 
 
-def _placed(p: Column, i: Column) -> Column:
-    return F.struct((i + 1).cast("long").alias("pos"), p["field"].alias("field"), p["term"].alias("term"), (p["flags"].bitwiseAND(F.lit(3)) != 0).alias("strong"))
-
-
 def _place_columns(hits: str, terms: list[str]) -> dict[str, Column]:
     """Places of each field and term; ``strong`` ones are bold or in a heading."""
     def of(field: str, term: str) -> Column:
@@ -166,6 +159,5 @@ def matches(pages: DataFrame, node: Node | None, keep: list[str] | None = None)
     """The pages that match, with ``keep`` and the arrays of places of the query's terms: one projection, no shuffle."""
     keep = keep or ["seq"]
     if node is None:
-        return pages.select(*keep).limit(0)
-    terms = leaf_terms(node)
-    return places_of_pages(pages, terms, keep).filter(condition(node, terms))
+        return attributes(pages, keep).limit(0)
+    return places_of_pages(pages, node, keep)

@@ -1,8 +1,8 @@
 """The positional index as tables: documents, postings, dictionary and statistics.
 
 Pages come as rows of ``PAGE``: a sequence number, a URL, words of the title and of the text with their flags.
-Terms are found by array expressions alone; the only shuffles are the running sum of lengths within a chunk (a
-narrow row a document) and, where absolute locations are asked for, the join that brings it to the postings.
+Terms are found in one pass over the pages (``analysis``); the only shuffles are the running sum of lengths within a
+chunk (a narrow row a document) and, where absolute locations are asked for, the join that brings it to the pages.
 """
 
 from __future__ import annotations
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.functions import urls
-from gleanspark.functions.stemming import stems
-from gleanspark.operators.steps import computed
+from gleanspark.operators import analysis
+from gleanspark.operators.analysis import MOST_TITLE_WORDS
 
 PAGE = "seq long, url string, title_words array<string>, words array<struct<word:string,flags:tinyint>>, english boolean"
-#: Pages of so many title words or more aren't indexed.
-MOST_TITLE_WORDS = 40
 #: Pages of consecutive numbers that make a chunk.
 CHUNK = 5000
 BOLD, HEADING, LARGE = 1, 2, 4
@@ -28,52 +26,40 @@ def chunk_of(seq: Column, docs_per_chunk: int = CHUNK) -> Column:
 
 
 def indexable(pages: DataFrame) -> DataFrame:
-    return pages.filter(F.size("title_words") < MOST_TITLE_WORDS)
+    form = analysis.form_of(pages)
+    if form == "html":
+        return analysis.attributes(pages)
+    return pages if form == "text" else pages.filter(F.size("title_words") < MOST_TITLE_WORDS)
 
 
-def entries(pages: DataFrame) -> DataFrame:
-    """The pages with ``posts``: their terms in order, title first, as (field, term, flags)."""
-    stemmed = pages.withColumn("_title", stems("title_words")).withColumn("_body", F.arrays_zip(stems("words.word").alias("term"), F.col("words.flags").alias("flags")))
-    zero = F.lit(0).cast("tinyint")
-    title = F.transform(F.filter("_title", lambda t: t != ""), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"), zero.alias("flags")))
-    body = F.transform(F.filter("_body", lambda p: p["term"] != ""), lambda p: F.struct(F.lit("body").alias("field"), p["term"].alias("term"), p["flags"].alias("flags")))
-    return stemmed.withColumn("posts", F.concat(title, body)).drop("_title", "_body")
-
-
-def documents(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
-    """Attributes and the range of locations of each indexed page; ``doc_id`` is dense within its chunk."""
-    d = indexable(pages).select(
-        chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"),
-        "seq",
-        "url",
-        F.array_join("title_words", " ").alias("title"),
-        (F.size("words") + F.size("title_words")).cast("long").alias("word_count"),
-        F.size("title_words").cast("long").alias("title_length"),
-        F.octet_length("url").cast("long").alias("url_length"),
-        urls.tld(F.col("url")).alias("tld"),
-        "english",
-    )
+def _located_pages(attributes: DataFrame, docs_per_chunk: int) -> DataFrame:
+    """Pages with their chunk, their number in it and their range of locations."""
+    d = attributes.withColumn("chunk_id", chunk_of(F.col("seq"), docs_per_chunk))
     need = F.col("word_count") + 2
     before = Window.partitionBy("chunk_id").orderBy("seq")
     d = d.withColumn("end", F.sum(need).over(before)).withColumn("doc_id", (F.row_number().over(before) - 1).cast("long"))
     return d.withColumn("start", F.col("end") - need + 1)
 
 
+def documents(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
+    """Attributes and the range of locations of each indexed page; ``doc_id`` is dense within its chunk."""
+    url = {"url_length": F.octet_length("url").cast("long"), "tld": urls.tld(F.col("url"))}
+    d = _located_pages(analysis.attributes(pages), docs_per_chunk).withColumns(url)
+    return d.select("chunk_id", "seq", "url", "title", "word_count", "title_length", "url_length", "tld", "english", "end", "doc_id", "start")
+
+
 def postings(pages: DataFrame, docs_per_chunk: int = CHUNK, only: list[str] | None = None) -> DataFrame:
-    """A row for each term occurrence: chunk, page, field, term, ``pos`` in the page (from 1) and flags. No shuffle. With ``only``, of these
-    terms: what else a page has is dropped within its array, before rows are made."""
-    placed = F.transform("posts", lambda p, i: F.struct(p["field"].alias("field"), p["term"].alias("term"), (i + 1).cast("long").alias("pos"), p["flags"].alias("flags")))
-    if only is not None:
-        placed = F.filter(placed, lambda p: p["term"].isin(only) if only else F.lit(False))
-    e = entries(indexable(pages)).select("seq", F.explode(placed).alias("p"))
-    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "p.field", "p.term", "p.pos", "p.flags")
+    """A row for each term occurrence: chunk, page, field, term, ``pos`` in the page (from 1), flags, and whether it is the page's ``first`` of
+    the term in the field. No shuffle. With ``only``, of these terms: what else a page has never becomes rows."""
+    e = analysis.posts_of_pages(pages, only)
+    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "field", "term", "pos", "flags", "first")
 
 
 def located_postings(pages: DataFrame, docs_per_chunk: int = CHUNK) -> DataFrame:
-    """All postings with absolute locations in their chunk. Where a page begins is joined to it before its rows are made: pages move, not postings."""
-    start = documents(pages, docs_per_chunk).select("seq", "start")
-    e = entries(indexable(pages)).select("seq", "posts").join(start, "seq").select("seq", "start", F.posexplode("posts").alias("i", "p"))
-    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "p.field", "p.term", (F.col("start") + F.col("i")).alias("location"), "p.flags")
+    """All postings with absolute locations in their chunk. Where a page begins is joined to it before it is analysed: texts move, not postings."""
+    start = _located_pages(analysis.attributes(pages, ["seq", "word_count"]), docs_per_chunk).select("seq", "start")
+    e = analysis.posts_of_pages(pages.join(start.hint("shuffle_hash"), "seq"), keep="start")
+    return e.select(chunk_of(F.col("seq"), docs_per_chunk).alias("chunk_id"), "seq", "field", "term", (F.col("start") + F.col("pos") - 1).alias("location"), "flags")
 
 
 def located(posts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -88,18 +74,14 @@ def with_field_mark(field: Column, term: Column) -> Column:
 
 def dictionary(posts: DataFrame) -> DataFrame:
     """Each term of each field, with how often and in how many pages it stands, and its last place in a page."""
-    return posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("post_count"), F.countDistinct("seq").alias("doc_freq"), F.max("pos").alias("last_pos"))
+    pages = F.count_if("first") if "first" in posts.columns else F.countDistinct("seq")
+    return posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("post_count"), pages.alias("doc_freq"), F.max("pos").alias("last_pos"))
 
 
 def dictionary_of_pages(pages: DataFrame) -> DataFrame:
-    """``dictionary`` straight from pages. What a page has of a term is counted once more within its own array, so that one aggregate, combined
-    in each task, counts occurrences and pages alike; postings don't move."""
-    row = lambda p, n, d, pos: F.struct(p["field"].alias("field"), p["term"].alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"), pos.cast("long").alias("pos"))
-    own = computed(entries(indexable(pages)).select("posts"), _posts=F.col("posts"))
-    once = F.array_distinct(F.transform("_posts", lambda p: F.struct(p["field"].alias("field"), p["term"].alias("term"))))
-    rows = F.concat(F.transform("_posts", lambda p, i: row(p, 1, 0, i + 1)), F.transform(once, lambda p: row(p, 0, 1, F.lit(0))))
-    counted = own.select(F.explode(rows).alias("x")).groupBy("x.field", "x.term")
-    return counted.agg(F.sum("x.n").alias("post_count"), F.sum("x.d").alias("doc_freq"), F.max("x.pos").alias("last_pos"))
+    """``dictionary`` straight from pages: terms are counted where they are found, and only sums move."""
+    counted = analysis.counted_terms(pages).groupBy("field", "term")
+    return counted.agg(*[f(c).alias(c) for f, c in ((F.sum, "post_count"), (F.sum, "doc_freq"), (F.max, "last_pos"))])
 
 
 def statistics(posts: DataFrame, docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.scoring import soft_exp, static_score
+from gleanspark.operators.analysis import attributes
 from gleanspark.operators.boolean import column, condition, needs_a_term, places_of_pages, places_of_postings
 from gleanspark.operators.steps import computed
 from gleanspark.plans.query import Node, leaf_terms, ranking_terms, wants_utility
@@ -119,12 +120,10 @@ def scored(candidates: DataFrame, node: Node, terms: list[str]) -> DataFrame:
 
 def rank_pages(pages: DataFrame, node: Node | None) -> DataFrame:
     """All pages that match, scored, straight from pages; ``title`` is the page's, or its URL where it has none."""
-    p = pages.withColumn("title", F.array_join("title_words", " ")).withColumn("title", F.when(F.col("title") == "", F.col("url")).otherwise(F.col("title")))
-    p = p.withColumn("title_length", F.size("title_words").cast("long")).withColumn("word_count", (F.size("words") + F.size("title_words")).cast("long"))
     if node is None:
-        return p.select(*ATTRIBUTES).limit(0).withColumns({x: F.lit(0.0) for x in ("static", "dynamic", "score")})
-    terms = leaf_terms(node)
-    return scored(places_of_pages(p, terms, ATTRIBUTES).filter(condition(node, terms)), node, terms)
+        return attributes(pages, ATTRIBUTES).limit(0).withColumns({x: F.lit(0.0) for x in ("static", "dynamic", "score")})
+    p = places_of_pages(pages, node, ATTRIBUTES)
+    return scored(p.withColumn("title", F.when(F.col("title") == "", F.col("url")).otherwise(F.col("title"))), node, leaf_terms(node))
 
 
 def rank_index(posts: DataFrame, docs: DataFrame, node: Node | None) -> DataFrame:

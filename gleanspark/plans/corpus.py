@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text
+from gleanspark.operators.analysis import TITLE_WORDS
 from gleanspark.sources.html import parse_pages
 
-#: A plain document has no title: so many of its first words serve as one.
-TITLE_WORDS = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
-    """``documents`` as pages: the first words as title, all words as text without flags, a URL of source, language and id."""
-    d = docs.select("doc_id", "lang", "source", text.tokens(F.col("text")).alias("t"))
-    return d.select(
+    """``documents`` as pages of plain text: the first words are title, all words text without flags; a URL of source, language and id."""
+    return docs.select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.slice("t", 1, TITLE_WORDS).alias("title_words"),
-        F.transform("t", lambda w: F.struct(w.alias("word"), F.lit(0).cast("tinyint").alias("flags"))).alias("words"),
+        "text",
         (F.col("lang") == "en").alias("english"),
     )
 
@@ -73,6 +70,11 @@ def web_pages_sql() -> str:
     docs as (select *, "end" - word_count - 1 as start from (select seq // 5000 chunk_id, *, cast(sum(word_count + 2) over (partition by seq // 5000 order by seq) as bigint) as "end" from pg))"""
 
 
+def unparsed_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` as they are indexed: parsed where their terms are found."""
+    return pages.select(F.col("page_id").alias("seq"), "url", "html")
+
+
 def web_pages(pages: DataFrame) -> DataFrame:
     """``pages`` parsed, with links and base besides what an index needs."""
-    return parse_pages(pages.select(F.col("page_id").alias("seq"), "url", "html"))
+    return parse_pages(unparsed_pages(pages))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanspark.operators import index
+from gleanspark.operators import analysis, index
 from gleanspark.plans.corpus import document_pages, document_pages_sql, table
 from gleanspark.registry import query
 
@@ -52,12 +52,14 @@ def dictionary(spark, sf_dir):
 
 @query("marked_terms", f"{WITH} select case field when 'title' then '@' || term else term end marked, count(*) n from posts group by 1")
 def marked_terms(spark, sf_dir):
-    return posts(spark, sf_dir).groupBy(index.with_field_mark(F.col("field"), F.col("term")).alias("marked")).agg(F.count(F.lit(1)).alias("n"))
+    counted = analysis.counted_terms(pages(spark, sf_dir))
+    return counted.groupBy(index.with_field_mark(F.col("field"), F.col("term")).alias("marked")).agg(F.sum("post_count").alias("n"))
 
 
 @query("vocabulary_count", f"{WITH} select count(distinct term) n_terms, count(*) n_posts from posts")
 def vocabulary_count(spark, sf_dir):
-    return posts(spark, sf_dir).agg(F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_posts"))
+    terms = analysis.counted_terms(pages(spark, sf_dir)).groupBy("term").agg(F.sum("post_count").alias("n"))
+    return terms.agg(F.count(F.lit(1)).alias("n_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_posts"))
 
 
 @query("doc_freq", f"{WITH} select term, count(distinct seq) doc_freq from posts where term in ({IN_TERMS}) group by term")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text, urls
 from gleanspark.operators import index
-from gleanspark.plans.corpus import table, web_pages, web_pages_sql
+from gleanspark.plans.corpus import table, unparsed_pages, web_pages, web_pages_sql
 from gleanspark.registry import query
 from gleanspark.sources.html import frontier
 from gleanspark.streaming.ingest import ingest, known_pages, totals
@@ -54,7 +54,7 @@ def html_parse(spark, sf_dir):
 
 @query("page_postings", f"{WEB} select p.chunk_id, p.seq, p.field, p.term, d.start + p.pos - 1 as location, p.flags from posts p join docs d using (seq)")
 def page_postings(spark, sf_dir):
-    return index.located_postings(web_pages(table(spark, sf_dir, "pages")))
+    return index.located_postings(unparsed_pages(table(spark, sf_dir, "pages")))
 
 
 @query("link_frontier", f"""{WEB}, l as (select l.link, regexp_extract(url, '^[a-z]+://[^/]*', 0) base, 1 + seq % 3 depth from ({LINKS}) l join hp using (seq)),

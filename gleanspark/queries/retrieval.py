@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text
 from gleanspark.operators import boolean
-from gleanspark.operators.index import dictionary, indexable
+from gleanspark.operators.index import dictionary_of_pages, indexable
 from gleanspark.plans.query import Phrase, Synonyms, Word, compile_query
 from gleanspark.queries.indexing import WITH, pages, posts
 from gleanspark.registry import query
@@ -79,7 +79,7 @@ def count_sql(term: str) -> str:
 def post_counts(spark, sf_dir):
     """How many postings a query's parts have, by the rules of estimation."""
     nodes = {q: compile_query(q) for q in ESTIMATED}
-    known = boolean.term_counts(dictionary(posts(spark, sf_dir)), [t for n in nodes.values() for t in boolean.leaf_terms(n)])
+    known = boolean.term_counts(dictionary_of_pages(pages(spark, sf_dir)), [t for n in nodes.values() for t in boolean.leaf_terms(n)])
     n_pages = indexable(pages(spark, sf_dir)).count()
     return spark.createDataFrame([(q, boolean.estimated_posts(n, known, n_pages)) for q, n in nodes.items()], "query string, posts long")
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from gleanspark.functions import urls
 from gleanspark.functions.scoring import soft_exp, soft_exp_sql, static_score, static_score_sql
 from gleanspark.operators import boolean, index, ranking, results
+from gleanspark.operators.analysis import attributes
 from gleanspark.operators.index import chunk_of
-from gleanspark.plans.corpus import document_pages_sql, table, web_pages, web_pages_sql
+from gleanspark.plans.corpus import document_pages_sql, table, unparsed_pages, web_pages_sql
 from gleanspark.plans.query import compile_query
 from gleanspark.queries.indexing import WITH, pages
 from gleanspark.registry import query
@@ -45,8 +46,8 @@ def url_length_score(spark, sf_dir):
 
 @query("static_score", f"{WITH} select seq, round({static_score_sql('url', 'word_count', 'title_length', 'english')}, 6) static from pg")
 def static(spark, sf_dir):
-    p = pages(spark, sf_dir).select("seq", "url", "english", (F.size("words") + F.size("title_words")).alias("n"), F.size("title_words").alias("t"))
-    return p.select("seq", F.round(static_score(F.col("url"), F.col("n"), F.col("t"), F.col("english")), 6).alias("static"))
+    p = attributes(pages(spark, sf_dir))
+    return p.select("seq", F.round(static_score(F.col("url"), F.col("word_count"), F.col("title_length"), F.col("english")), 6).alias("static"))
 
 
 # --- the ranker in SQL: joins where the engine folds over arrays ------------------------------------------
@@ -119,10 +120,8 @@ def counted(spark, sf_dir, text, source=pages):
 
 def ranked_features(spark, sf_dir, text, source=pages):
     node = compile_query(text)
-    p = source(spark, sf_dir).withColumn("title_length", F.size("title_words").cast("long")).withColumn("word_count", (F.size("words") + F.size("title_words")).cast("long"))
-    terms = ranking.leaf_terms(node)
-    places = boolean.places_of_pages(p, terms, ["seq", "url", "title_length", "word_count"]).filter(boolean.condition(node, terms))
-    return ranking.dynamic(places, ranking.ranking_terms(node)[0], terms, "dyn")
+    places = boolean.places_of_pages(source(spark, sf_dir), node, ["seq", "url", "title_length", "word_count"])
+    return ranking.dynamic(places, ranking.ranking_terms(node)[0], ranking.leaf_terms(node), "dyn")
 
 
 @query("span_counts", f"{WITH}, {ranked_sql(THREE, ANY)} select * from side")
@@ -201,7 +200,7 @@ QUERY_WEB = "erin | from | la"
 
 
 def parsed_pages(spark, sf_dir):
-    return web_pages(table(spark, sf_dir, "pages"))
+    return unparsed_pages(table(spark, sf_dir, "pages"))
 
 
 @query("span_counts_web", f"{WEB}, {ranked_sql(ON_WEB, ANY_WEB)} select * from side")

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text
+from gleanspark.operators.analysis import counted_tokens
 from gleanspark.plans.corpus import table
 from gleanspark.registry import query
 
 TOKENS = f"select doc_id, unnest({text.tokens_duck('text')}) t from documents"
 
 
-def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("t"))
+def forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct token ``t`` with its ``stem`` and number ``n``: counted where texts are cut, so that tokens never become rows."""
+    return counted_tokens(table(spark, sf_dir, "documents")).groupBy("t", "stem").agg(F.sum("n").alias("n"))
 
 
 @query("ascii_lower", f"select conv_id, turn, {text.ascii_lower_sql('text')} as lowered from conversations")
@@ -38,13 +40,13 @@ def tokenize_documents(spark, sf_dir):
 
 @query("stem_vocabulary", f"select t as token, stem from {text.stems_duck(f'(select distinct t from ({TOKENS}))')}")
 def stem_vocabulary(spark, sf_dir):
-    return tokens_of(spark, sf_dir).select(F.col("t").alias("token")).distinct().withColumn("stem", text.stem("token"))
+    return forms_of(spark, sf_dir).select(F.col("t").alias("token"), "stem")
 
 
 @query("stem_frequency", f"with v as (select t, count(*) n from ({TOKENS}) group by t) select stem, cast(sum(n) as bigint) n_tokens, count(*) n_forms from {text.stems_duck('v')} where stem <> '' group by stem")
 def stem_frequency(spark, sf_dir):
-    forms = tokens_of(spark, sf_dir).groupBy("t").count()  # each form is stemmed once
-    return forms.withColumn("stem", text.stem("t")).filter("stem <> ''").groupBy("stem").agg(F.sum("count").alias("n_tokens"), F.count(F.lit(1)).alias("n_forms"))
+    forms = forms_of(spark, sf_dir).filter("stem <> ''")
+    return forms.groupBy("stem").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_forms"))
 
 
 STOPPED = ", ".join(text.quoted(w) for w in text.STOP)
@@ -59,4 +61,4 @@ def stopword_filter(spark, sf_dir):
 
 @query("punct_strip", f"select {text.Dialect(True).right_trimmed('t', text.CLOSERS)} as bare, count(*) n from ({TOKENS}) group by 1")
 def punct_strip(spark, sf_dir):
-    return tokens_of(spark, sf_dir).select(F.expr(text.Dialect(False).right_trimmed("t", text.CLOSERS)).alias("bare")).groupBy("bare").agg(F.count(F.lit(1)).alias("n"))
+    return forms_of(spark, sf_dir).select(F.expr(text.Dialect(False).right_trimmed("t", text.CLOSERS)).alias("bare"), "n").groupBy("bare").agg(F.sum("n").alias("n"))
