@@ -106,11 +106,23 @@ class Vocabulary(dict):
             self.stems.append(stem)
         return n
 
-    def strings(self, numbers: np.ndarray) -> pa.Array:
+    def _local(self, numbers: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The strings that there are, and which of them each is."""
         there = np.flatnonzero(np.bincount(numbers, minlength=len(self.stems)))
         at = np.zeros(len(self.stems), np.int32)
         at[there] = np.arange(len(there), dtype=np.int32)
-        return pa.array([self.stems[i] for i in there.tolist()], pa.string()).take(pa.array(at[numbers]))
+        return pa.array([self.stems[i] for i in there.tolist()], pa.string()), at[numbers]
+
+    def strings(self, numbers: np.ndarray) -> pa.Array:
+        strings, at = self._local(numbers)
+        return strings.take(pa.array(at))
+
+    def order(self, numbers: np.ndarray) -> np.ndarray:
+        """Places by the alphabet, equals as they are."""
+        strings, at = self._local(numbers)
+        rank = np.empty(len(strings), np.int32)
+        rank[pc.array_sort_indices(strings).to_numpy()] = np.arange(len(strings), dtype=np.int32)
+        return np.argsort(rank[at], kind="stable")
 
 
 @dataclass
@@ -131,7 +143,9 @@ class Slice:
 
     def only(self) -> Slice:
         """Those of the wanted terms."""
-        keep = self.term > 1
+        return self.at(self.term > 1)
+
+    def at(self, keep: np.ndarray) -> Slice:
         return Slice(self.batch, self.indexed, self.title_length, self.n_words, self.titles, self.english, self.page[keep], self.body[keep], self.pos[keep], self.term[keep], self.flags[keep])
 
     def keys(self) -> np.ndarray:
@@ -359,7 +373,8 @@ _FIELD = pa.array(FIELDS)
 
 
 def posts_of_pages(pages: DataFrame, only: list[str] | None = None, keep: str | None = None) -> DataFrame:
-    """A row for each term occurrence (of the terms ``only``, if given): ``POSTED``, and the long column ``keep`` of its page. ``first``: whether it is its page's first of the term in the field."""
+    """A row for each term occurrence (of the terms ``only``, if given): ``POSTED``, and the long column ``keep`` of its page. ``first``: whether it is its page's first of the term in the field.
+    All terms come by the alphabet within a slice: sorted runs, which a sort by term has but to merge."""
     form, given = _input(pages, "seq", *([keep] if keep else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,8 +382,12 @@ def posts_of_pages(pages: DataFrame, only: list[str] | None = None, keep: str |
         for s in slices(form, batches, known):
             if only is not None:
                 s = s.only()
+                first = s.first()
+            else:
+                order = known.order(s.term)
+                s, first = s.at(order), s.first()[order]
             page = pa.array(s.page)
-            columns = [s.batch.column("seq").take(page), _FIELD.take(pa.array(s.body.astype(np.int8))), known.strings(s.term), pa.array(s.pos, pa.int64()), pa.array(s.flags), pa.array(s.first())]
+            columns = [s.batch.column("seq").take(page), _FIELD.take(pa.array(s.body.astype(np.int8))), known.strings(s.term), pa.array(s.pos, pa.int64()), pa.array(s.flags), pa.array(first)]
             names = ["seq", "field", "term", "pos", "flags", "first"]
             if keep:
                 columns.append(s.batch.column(keep).take(page))

@@ -108,14 +108,14 @@ def ranked(spark, sf_dir, text):
 @query("rarest_term", f"{WITH}, {ranked_sql(THREE, ANY)} select seq, field, r rarest from rare")
 def rarest_term(spark, sf_dir):
     places = boolean.matches(pages(spark, sf_dir), compile_query(QUERY_THREE))
-    each = [places.select("seq", F.lit(f).alias("field"), F.array(*[F.col(boolean.column(f, i)) for i in range(3)]).alias("a")) for f in boolean.FIELDS]
-    return each[0].union(each[1]).withColumn("rarest", ranking.rarest("a")).filter("rarest is not null").drop("a")
+    each = [F.struct(F.lit(f).alias("field"), F.array(*[F.col(boolean.column(f, i)) for i in range(3)]).alias("a")) for f in boolean.FIELDS]
+    return places.select("seq", F.inline(F.array(*each))).withColumn("rarest", ranking.rarest("a")).filter("rarest is not null").drop("a")
 
 
 def counted(spark, sf_dir, text, source=pages):
     r = ranked_features(spark, sf_dir, text, source)
-    each = [r.select("seq", F.lit(f).alias("field"), *[F.col(f"dyn_{f}_{c}").alias(c) for c in ranking.COUNTERS]) for f in boolean.FIELDS]
-    return each[0].union(each[1]).filter("spans > 0")
+    each = [F.struct(F.lit(f).alias("field"), *[F.col(f"dyn_{f}_{c}").alias(c) for c in ranking.COUNTERS]) for f in boolean.FIELDS]
+    return r.select("seq", F.inline(F.array(*each))).filter("spans > 0")  # both fields from one pass
 
 
 def ranked_features(spark, sf_dir, text, source=pages):

@@ -110,10 +110,16 @@ def test_terms_are_found_in_one_python_step(spark, sf_dir):
     """A page's text goes to Python once, and neither its words nor its stems come back."""
     from gleanspark.catalog import QUERIES
 
-    for name in ("nested_bool_one_pass", "dictionary", "marked_terms", "stem_frequency", "chunk_topk", "span_counts_web"):
+    for name in ("nested_bool_one_pass", "dictionary", "marked_terms", "stem_frequency", "chunk_topk", "span_counts_web", "rarest_term"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-        union = 2 if name == "span_counts_web" else 1  # a union of the two fields
-        assert plan.count("MapInArrow") == union and "ArrowEvalPython" not in plan and "lambdafunction(regexp" not in plan, name
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "lambdafunction(regexp" not in plan, name
+
+
+def test_postings_come_in_sorted_runs():
+    known = analysis.Vocabulary()
+    (s,) = analysis.slices("text", iter([batch(ODD)]), known)
+    order = known.order(s.term)
+    assert [(known.stems[t], r, p) for t, r, p in zip(s.term[order], s.page[order], s.pos[order], strict=True)] == sorted((t, r, p) for r, _, t, p, _ in by_hand(ODD))
 
 
 def test_counted_tokens(spark):
